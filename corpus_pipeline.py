@@ -1,8 +1,60 @@
-"""The corpus pipeline: stages in order, each a whole-table operator."""
+"""The corpus pipeline: quality, lines, near duplicates, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept; what a stage returns is written as
+Parquet and read again as the next one's ``docs``.  All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from orrery.llm import line_dedup, near_dedup, packing, pii, quality
+from orrery.llm.shared import Scratch, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; it learns from the table's labels."""
+    return quality.keep_good(spark, docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+def new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that an earlier document holds are deleted; no document goes."""
+    return line_dedup.dedup_lines(spark, docs)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return near_dedup.keep_one(spark, docs)
+
+
+def no_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data become their kind in brackets; no document goes."""
+    return pii.redact(spark, docs)
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each piece of each document lies in the training sequences."""
+    import public_tokenizers
+
+    return packing.pack(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("lines", new_lines),
+    ("near_duplicates", one_of_each),
+    ("personal_data", no_personal_data),
+    ("packing", sequences),
+]
+
+#: SQL expresses neither the classifier nor the sketches, alignments and tokenizer; tests/llm holds the brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs

@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -28,9 +30,9 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 #: White space as Unicode defines it.
 SPACE = "\t-\r \x85\xa0  -     　"
 #: No word of SPLIT goes on from another character to white space, so a text may be cut there.
-CHUNK = regex.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks whose ids a Python worker keeps; it starts anew when they are full, about 60 MB.
-CACHE = 250_000
+CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Chunks whose ids a Python worker keeps; it starts anew when they are full, about 150 MB.
+CACHE = 600_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -62,13 +64,14 @@ class Codec:
                 self.parts[whole] = a, b, rank
         self.automaton = ahocorasick.Automaton()
         for b, i in self.ids.items():
-            self.automaton.add_word(b.decode("latin-1"), (len(b), i))
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.fits: dict[tuple[int, int], bool] = {}
         size = max(self.bytes) + 1
         lengths = np.zeros(size, dtype=np.int64)
         for i, b in self.bytes.items():
             lengths[i] = len(b)
+        self.size, self.decimal = lengths.tolist(), list(map(str, range(size)))
         self.lengths, self.offsets = lengths, np.concatenate([[0], np.cumsum(lengths)])
         self.store = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), dtype=np.uint8)
         self._split = regex.compile(SPLIT)
@@ -101,36 +104,53 @@ class Codec:
     def word(self, word: bytes) -> list[int]:
         """The ids of one word of the splitting pattern."""
         whole = self.ids.get(word)
-        n = len(word)
-        if n == 1:
+        if whole is not None:
             return [whole]
-        starts: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, (length, i) in self.automaton.iter(word.decode("latin-1")):
-            starts[end - length + 1].append((length, i))
-        for x in starts:
-            x.sort(reverse=True)
-        out, at, tried, dead = [], 0, [0], set()
+        n, size = len(word), self.size
+        starts: list[list[int]] = [[] for _ in range(n)]  # tokens by where they begin, the longest last
+        for end, i in self.automaton.iter(word.decode("latin-1")):
+            starts[end - size[i] + 1].append(i)
+        out, at, fits = [], 0, self.fits.get
+        while at < n:  # mostly the longest match fits at every place
+            i = starts[at][-1]
+            if out and not fits((out[-1], i)):
+                break
+            out.append(i)
+            at += size[i]
+        else:
+            return out
+        return self._backtrack(n, starts, out, at)
+
+    def _backtrack(self, n: int, starts: list[list[int]], out: list[int], at: int) -> list[int]:
+        """Goes on from ``out``, each of which is the longest match at its place."""
+        size, dead = self.size, set()
+        tried = [1] * len(out) + [1]  # the token taken at each place, counted from the longest
         while at < n:
-            k, options, last = tried[-1], starts[at], out[-1][1] if out else None
-            while k < len(options):
-                length, i = options[k]
-                if at + length not in dead and (last is None or self.compatible(last, i)):
+            k, options, last = tried[-1], starts[at], out[-1] if out else None
+            while k <= len(options):
+                i = options[-k]
+                if at + size[i] not in dead and (last is None or self.compatible(last, i)):
                     break
                 k += 1
             else:  # no token fits here after the last one
                 dead.add(at)
-                at -= out.pop()[0]
+                at -= size[out.pop()]
                 tried.pop()
                 tried[-1] += 1
                 continue
             tried[-1] = k
-            out.append((length, i))
-            at += length
-            tried.append(0)
-        return [i for _, i in out]
+            out.append(i)
+            at += size[i]
+            tried.append(1)
+        return out
 
     def plain(self, text: str) -> list[int]:
         """The ids of a text, or a chunk of one, without special strings."""
+        core = text[1:] if text[:1] == " " else text
+        if core.isalpha():  # one word: the pattern's letters are those of str.isalpha
+            return self.word(text.encode())
+        if core[-1:] in (",", ".") and core[:-1].isalpha():
+            return self.word(text[:-1].encode()) + self.word(text[-1:].encode())
         return [i for w in self._split.findall(text) for i in self.word(w.encode())]
 
     def segments(self, text: str) -> Iterator[tuple[str, int | None]]:
@@ -165,25 +185,26 @@ def codec(path: str) -> Codec:
 
 
 class Chunks:
-    """A text's ids, as decimal text and as an array, by chunks whose ids are kept."""
+    """A text's ids by chunks, whose ids are kept."""
 
     def __init__(self, codec: Codec, size: int = CACHE):
         self.codec, self.size, self.kept = codec, size, {}
 
-    def __call__(self, text: str) -> list[tuple[str, bytes]]:
-        out, kept = [], self.kept
+    def _new(self, chunk: str) -> bytes:
+        if len(self.kept) >= self.size:
+            self.kept.clear()
+        ids = array("i", self.codec.plain(chunk)).tobytes()
+        if len(chunk) < 64:
+            self.kept[chunk] = ids
+        return ids
+
+    def __call__(self, text: str) -> np.ndarray:
+        out, get, new = [], self.kept.get, self._new
         for part, special in self.codec.segments(text):
-            for c in CHUNK.findall(part):
-                x = kept.get(c)
-                if x is None:
-                    if len(kept) >= self.size:
-                        kept.clear()
-                    ids = self.codec.plain(c)
-                    x = kept[c] = ",".join(map(str, ids)), np.array(ids, dtype="<i4").tobytes()
-                out.append(x)
+            out += [get(c) or new(c) for c in CHUNK.findall(part)]
             if special is not None:
-                out.append((str(special), np.array([special], dtype="<i4").tobytes()))
-        return out
+                out.append(array("i", [special]).tobytes())
+        return np.frombuffer(b"".join(out), dtype=np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -200,13 +221,12 @@ def _digests(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = chunks(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
+            n, ids, decoded, decimal = [], [], [], of.codec.decimal
             for text in batch.column(1):
                 found = of(text.as_py())
-                array = np.frombuffer(b"".join([x[1] for x in found]), dtype="<i4")
-                n.append(len(array))
-                ids.append(_sha(",".join([x[0] for x in found]).encode()))
-                decoded.append(_sha(of.codec.decode(array).encode()))
+                n.append(len(found))
+                ids.append(_sha(",".join([decimal[i] for i in found.tolist()]).encode()))
+                decoded.append(_sha(of.codec.decode(found).encode()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -216,7 +236,7 @@ def _encoded(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = chunks(path)
         for batch in batches:
-            ids = [np.frombuffer(b"".join([x[1] for x in of(t.as_py())]), dtype="<i4") for t in batch.column(1)]
+            ids = [of(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return run
