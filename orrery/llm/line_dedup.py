@@ -26,6 +26,16 @@ RARE = 50
 MIN_WORDS = 5
 
 
+def _uses(items: list) -> list[tuple]:
+    """Each item with the number of its use so far."""
+    n: Counter = Counter()
+    out = []
+    for x in items:
+        n[x] += 1
+        out.append((x, n[x]))
+    return out
+
+
 def patience(a: list, b: list) -> list[tuple[int, int]]:
     """Aligned places of equal items, by patience diff: ends first, then unique common items in order, then between them."""
     out, todo = [], [(0, len(a), 0, len(b))]
@@ -40,8 +50,10 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
         if a0 >= a1 or b0 >= b1:
             continue
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        where = {x: i for i, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
-        common = [(i, where[x]) for i, x in enumerate(a[a0:a1], a0) if x in where]
+        where = {(x, 1): i for i, x in enumerate(b[b0:b1], b0) if in_b[x] == 1 and in_a.get(x) == 1}
+        if not where:  # no item is unique: the first use here meets the first use there, and so on
+            where = {x: i for i, x in enumerate(_uses(b[b0:b1]), b0) if x[0] in in_a}
+        common = [(i, where[x]) for i, x in enumerate(_uses(a[a0:a1]), a0) if x in where]
         tails: list[int] = []  # of the longest increasing runs of places in b, by length
         ends: list[int] = []
         back = [-1] * len(common)
@@ -68,15 +80,24 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
 
 
 def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Places in ``b`` of aligned blocks, unbroken in both, that have enough words."""
-    out, block, last = [], [], None
-    for i, j in [*patience(a, b), (-2, -2)]:
-        if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-            if sum(words[x] for x in block) >= min_words:
-                out += block
-            block = []
-        block.append(j)
-        last = (i, j)
+    """Places in ``b`` of aligned blocks, unbroken in both, that have enough words.
+
+    What one alignment has matched is set aside and the rest aligned again, so that blocks in another order are found too.
+    """
+    out, ia, ib = [], list(range(len(a))), list(range(len(b)))
+    while found := patience([a[i] for i in ia], [b[j] for j in ib]):
+        block, last = [], None
+        for i, j in [*((ia[i], ib[j]) for i, j in found), (-2, -2)]:
+            if last is None or (i, j) != (last[0] + 1, last[1] + 1):
+                if sum(words[x] for x in block) >= min_words:
+                    out += block
+                block = []
+            block.append(j)
+            last = (i, j)
+        gone_a, gone_b = {i for i, _ in found}, {j for _, j in found}
+        ia, ib = [x for k, x in enumerate(ia) if k not in gone_a], [x for k, x in enumerate(ib) if k not in gone_b]
+        both = {a[i] for i in ia} & {b[j] for j in ib}
+        ia, ib = [i for i in ia if a[i] in both], [j for j in ib if b[j] in both]
     return out
 
 

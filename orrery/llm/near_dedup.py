@@ -20,6 +20,7 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -75,13 +76,11 @@ def kmers(h: np.ndarray, k: int = K) -> np.ndarray:
             out = out * _BASE + h[i:len(h) - k + 1 + i]
         out = _mixed(out)
         order = np.argsort(out, kind="stable")
-        s = out[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        if not first.all():
-            starts = np.nonzero(first)[0]
-            label = np.empty(len(out), dtype=np.uint64)
-            label[order] = (np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out))))).astype(np.uint64)
-            out = _mixed(out + label * _BASE)
+        first = np.concatenate([[True], out[order][1:] != out[order][:-1]])
+        starts = np.nonzero(first)[0]
+        label = np.empty(len(out), dtype=np.uint64)
+        label[order] = (np.arange(len(out)) - np.repeat(starts, np.diff(np.append(starts, len(out))))).astype(np.uint64)
+        out = _mixed(out + label * _BASE)
     return out
 
 
@@ -109,13 +108,29 @@ def sketch(x: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+@lru_cache(maxsize=64)
+def _counted(text: str) -> tuple[list[str], Counter]:
+    found = words(text)
+    return found, Counter(found)
+
+
+def alike(x: str, y: str, least: float = SIMILARITY) -> bool:
+    """Whether two texts' words are so alike; most that are not differ in their counts of words already."""
+    (a, in_a), (b, in_b) = _counted(x), _counted(y)
+    longer = max(len(a), len(b))
+    room = longer - int((1 - least) * longer + 1e-9)  # words that must be common
+    if min(len(a), len(b)) < room or sum((in_a & in_b).values()) < room:
+        return False
+    return edit_similarity(a, b, least) >= least
+
+
 def edit_similarity(a: list[str], b: list[str], least: float = SIMILARITY) -> float:
     """1 - edit distance / longer length, exact where it is ``least`` or more, else 0; texts without words are alike."""
     longer = max(len(a), len(b))
     if not longer:
         return 1.0
     band = int((1 - least) * longer + 1e-9)
-    if abs(len(a) - len(b)) > band or longer - sum((Counter(a) & Counter(b)).values()) > band:
+    if abs(len(a) - len(b)) > band:
         return 0.0
     lo, n, m = 0, len(a), len(b)
     while lo < n and lo < m and a[lo] == b[lo]:
@@ -170,7 +185,7 @@ def _verify(least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a, c, x, y = b.columns
-            keep = [edit_similarity(words(s.as_py()), words(t.as_py()), least) >= least for s, t in zip(x, y, strict=True)]
+            keep = [alike(s.as_py(), t.as_py(), least) for s, t in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, c], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -217,7 +232,7 @@ def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         pairs = scratch.save(pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), f"{name}-pairs")
         x, y = texts.select(F.col("vid").alias("a"), F.col("text").alias("x")), texts.select(F.col("vid").alias("b"), F.col("text").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").repartition(F.xxhash64("a", "b"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return scratch.save(both.mapInArrow(_verify(similarity), "a long, b long"), f"{name}-links")
 
     # first with the least member of the same and of the next smaller size in the bucket
