@@ -5,6 +5,331 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrery.functions import arrays as arr
+from orrery.functions import geometry as g
+from orrery.operators import properties as p
+from orrery.operators import selection as sel
+from orrery.operators import spatial
+from orrery.schema import System
+from orrery.sources.surrogate import CELL, sql, system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+_R = 4
+_L = CELL[0]
+
+
+def _on_system(name: str, statement: str, recursive: bool = False) -> Callable:
+    def add(build: Callable[[System], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: build(system(spark, sf_dir))
+        ORACLE_SQL[name] = sql(statement, recursive)
+        return build
+
+    return add
+
+
+def _keys(df: DataFrame) -> DataFrame:
+    return df.select(F.col("atom_idx").cast("long"))
+
+
+def _groups(df: DataFrame) -> DataFrame:
+    return df.select(F.col("group_id").cast("long"), F.col("atom_idx").cast("long"))
+
+
+# --- selectors -------------------------------------------------------------------------------------------------------
+_ATOM = "SELECT atom_idx FROM atoms"
+for _name, _build, _where in (
+    ("sel_all", lambda s: sel.atoms(s), "true"),
+    ("sel_name", lambda s: sel.atoms(s, sel.matches("type", ("CA", "N"))), "type IN ('CA', 'N')"),
+    ("sel_name_wildcard", lambda s: sel.atoms(s, sel.matches("type", ("H*", "*A"))), "type LIKE 'H%' OR type LIKE '%A'"),
+    ("sel_element_str", lambda s: sel.atoms(s, F.col("element").isin("C", "He")), "element IN ('C', 'He')"),
+    ("sel_element_range_stride", lambda s: sel.atoms(s, sel.in_range("z", 1, 8, 2)), "z BETWEEN 1 AND 8 AND (z - 1) % 2 = 0"),
+    ("sel_atom_range", lambda s: sel.atoms(s, sel.in_range("atom_idx", 5, 120)), "atom_idx BETWEEN 5 AND 120"),
+    ("sel_atom_stride", lambda s: sel.atoms(s, sel.in_range("atom_idx", 2, None, 3)), "atom_idx >= 2 AND (atom_idx - 2) % 3 = 0"),
+    ("sel_atom_list", lambda s: sel.atoms(s, F.col("atom_idx").isin(1, 7, 9)), "atom_idx IN (1, 7, 9)"),
+    ("sel_backbone", lambda s: sel.flagged(s, 0x4), "flags & 4 <> 0"),
+    ("sel_sidechain", lambda s: sel.flagged(s, 0x400), "flags & 1024 <> 0"),
+    ("sel_side", lambda s: sel.flagged(s, 0x400 | 0x2000), "flags & 9216 <> 0"),
+    ("sel_nucleoside", lambda s: sel.flagged(s, 0x2000), "flags & 8192 <> 0"),
+    ("sel_nucleobase", lambda s: sel.flagged(s, 0x4000), "flags & 16384 <> 0"),
+    ("sel_and", lambda s: sel.intersect(sel.flagged(s, 0x4), sel.atoms(s, sel.in_range("atom_idx", 10, 300))), "flags & 4 <> 0 AND atom_idx BETWEEN 10 AND 300"),
+    ("sel_or", lambda s: sel.union(sel.flagged(s, 0x400), sel.atoms(s, sel.in_range("atom_idx", 1, 50))), "flags & 1024 <> 0 OR atom_idx BETWEEN 1 AND 50"),
+    ("sel_xor", lambda s: sel.symmetric(sel.flagged(s, 0x400), sel.atoms(s, sel.in_range("atom_idx", 1, 50))), "(flags & 1024 <> 0) <> (atom_idx BETWEEN 1 AND 50)"),
+    ("sel_not", lambda s: sel.complement(s, sel.flagged(s, 0x4)), "NOT flags & 4 <> 0"),
+    ("sel_andnot", lambda s: sel.subtract(sel.flagged(s, 0x4), sel.atoms(s, F.col("z") == 7)), "flags & 4 <> 0 AND z <> 7"),
+    ("sel_ion", lambda s: sel.flatten(sel.components(s, F.col("flags").bitwiseAND(0x40000) != 0)), "comp_idx IN (SELECT comp_idx FROM components WHERE flags & 262144 <> 0)"),
+    ("sel_join_flatten", lambda s: sel.flatten(sel.components(s, F.col("name") == "LYS")), "comp_idx IN (SELECT comp_idx FROM components WHERE name = 'LYS')"),
+):
+    _on_system(_name, f"{_ATOM} WHERE {_where}")(lambda s, b=_build: _keys(b(s)))
+
+_COMP = "SELECT a.comp_idx AS group_id, atom_idx FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx WHERE "
+for _name, _pred, _where in (
+    ("sel_protein", lambda: F.col("flags").bitwiseAND(0x200) != 0, "c.flags & 512 <> 0"), ("sel_nucleic", lambda: F.col("flags").bitwiseAND(0x800) != 0, "c.flags & 2048 <> 0"),
+    ("sel_water", lambda: F.col("flags").bitwiseAND(0x20000) != 0, "c.flags & 131072 <> 0"), ("sel_resname", lambda: sel.matches("name", ("SOL", "L*")), "name = 'SOL' OR name LIKE 'L%'"),
+    ("sel_resid_range", lambda: sel.in_range("seq_id", 11, 17, 2), "seq_id BETWEEN 11 AND 17 AND (seq_id - 11) % 2 = 0"), ("sel_component_range", lambda: sel.in_range("comp_idx", 2, 5), "c.comp_idx BETWEEN 2 AND 5"),
+):
+    _on_system(_name, _COMP + _where)(lambda s, q=_pred: _groups(sel.components(s, q())))
+
+_INST = "SELECT c.inst_idx AS group_id, atom_idx FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx JOIN instances i ON c.inst_idx = i.inst_idx WHERE "
+for _name, _pred, _poly, _where in (
+    ("sel_instance_id", lambda: F.col("id").isin("A", "B"), False, "i.id IN ('A', 'B')"), ("sel_instance_range", lambda: sel.in_range("inst_idx", 2, 3), False, "i.inst_idx BETWEEN 2 AND 3"),
+    ("sel_auth_id", lambda: F.col("auth_id") == "Y", False, "i.auth_id = 'Y'"), ("sel_chain_polymer", lambda: F.col("id").isin("A", "B"), True, "i.id IN ('A', 'B') AND i.flags & 2 <> 0"),
+):
+    _on_system(_name, _INST + _where)(lambda s, q=_pred, y=_poly: _groups(sel.instances(s, q(), y)))
+
+
+@_on_system("sel_split", """r AS (SELECT min(atom_idx) AS lo, max(atom_idx) - min(atom_idx) + 1 AS n FROM atoms WHERE atom_idx BETWEEN 4 AND 103)
+SELECT CASE WHEN atom_idx - lo < n * 1 // 3 THEN 1 WHEN atom_idx - lo < n * 2 // 3 THEN 2 ELSE 3 END::BIGINT AS group_id, atom_idx FROM atoms, r WHERE atom_idx BETWEEN 4 AND 103""")
+def _split(s: System) -> DataFrame:
+    return _groups(sel.split(sel.atoms(s, sel.in_range("atom_idx", 4, 103)), 3))
+
+
+@_on_system("fill_component", "SELECT comp_idx AS group_id, atom_idx FROM atoms WHERE comp_idx IN (SELECT comp_idx FROM atoms WHERE atom_idx BETWEEN 1 AND 4)")
+def _fill(s: System) -> DataFrame:
+    return _groups(sel.whole_components(s, sel.atoms(s, sel.in_range("atom_idx", 1, 4))))
+
+
+@_on_system("fill_instance", """o AS (SELECT atom_idx, inst_idx FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx)
+SELECT inst_idx AS group_id, atom_idx FROM o WHERE inst_idx IN (SELECT inst_idx FROM o WHERE atom_idx BETWEEN 1 AND 2)""")
+def _fill_instance(s: System) -> DataFrame:
+    return _groups(sel.whole_instances(s, sel.atoms(s, sel.in_range("atom_idx", 1, 2))))
+
+
+@_on_system("khop_grow", """n AS (SELECT i, j FROM bonds UNION SELECT j, i FROM bonds),
+h AS (SELECT 17 AS a, 0 AS d UNION SELECT n.j, d + 1 FROM h JOIN n ON n.i = h.a WHERE d < 3) SELECT DISTINCT a::BIGINT AS atom_idx FROM h""", recursive=True)
+def _khop(s: System) -> DataFrame:
+    return _keys(sel.grow_by_bonds(s, sel.atoms(s, F.col("atom_idx") == 17), 3))
+
+
+# --- spatial ---------------------------------------------------------------------------------------------------------
+def _mi(d: str) -> str:
+    return f"(({d}) - {_L} * round(({d}) / {_L}))"
+
+
+def _d2(a: str, b: str) -> str:
+    return " + ".join(f"{_mi(f'{b}.{c} - {a}.{c}')} * {_mi(f'{b}.{c} - {a}.{c}')}" for c in "xyz")
+
+
+for _name, _pred, _where in (("within_x", lambda: F.col("x").between(-2, 3), "x BETWEEN -2 AND 3"), ("within_y", lambda: F.col("y").between(0, 3), "y BETWEEN 0 AND 3"), ("within_z", lambda: F.col("z").between(-1, 1), "z BETWEEN -1 AND 1"),
+                             ("within_xyz", lambda: F.col("x").between(-4, 4) & F.col("y").between(-3, 3) & F.col("z").between(0, 5), "x BETWEEN -4 AND 4 AND y BETWEEN -3 AND 3 AND z BETWEEN 0 AND 5")):
+    _on_system(_name, f"SELECT frame::INTEGER AS frame, atom_idx FROM traj WHERE {_where}")(lambda s, q=_pred: s.trajectory.filter(q()).select(F.col("frame").cast("int"), "atom_idx"))
+
+_NEAR = f"""SELECT DISTINCT b.frame::INTEGER AS frame, b.atom_idx FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx BETWEEN 1 AND 20 AND b.atom_idx > 20
+WHERE {_d2('a', 'b')} BETWEEN %s AND 9.0"""
+for _name, _least in (("within_radius", 0.0), ("within_shell", 2.0)):
+    @_on_system(_name, _NEAR % (_least * _least))
+    def _within(s: System, least: float = _least) -> DataFrame:
+        return spatial.within(s.trajectory, s.trajectory.filter("atom_idx BETWEEN 1 AND 20"), 3.0, s.cell, least).select(F.col("frame").cast("int"), "atom_idx")
+
+
+@_on_system("range_join_pairs", f"SELECT a.frame::INTEGER AS frame, count(*) AS n FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx < b.atom_idx WHERE {_d2('a', 'b')} <= 4.0 GROUP BY a.frame")
+def _pairs(s: System) -> DataFrame:
+    return spatial.range_join(s.trajectory, s.trajectory, 2.0, s.cell).filter("i < j").groupBy(F.col("frame").cast("int").alias("frame")).agg(F.count("*").alias("n"))
+
+
+@_on_system("covalent_bonds", f"""t AS (SELECT traj.*, radius FROM traj JOIN (SELECT atom_idx, radius FROM atoms) USING (atom_idx) WHERE frame = 0),
+q AS (SELECT a.atom_idx AS i, b.atom_idx AS j, sqrt({_d2('a', 'b')}) AS d, a.radius + b.radius AS r FROM t a JOIN t b ON a.atom_idx < b.atom_idx)
+SELECT i, j FROM q WHERE d > r * 0.65 AND d < r * 1.15""")
+def _bonds(s: System) -> DataFrame:
+    return p.covalent_bonds(s)
+
+
+@_on_system("contact_count", f"""SELECT a.frame::INTEGER AS frame, c.comp_idx AS group_id, count(*) AS n FROM traj a JOIN atoms c ON a.atom_idx = c.atom_idx JOIN traj b ON a.frame = b.frame AND a.atom_idx <> b.atom_idx
+WHERE c.comp_idx IN (1, 2) AND b.atom_idx IN (SELECT atom_idx FROM atoms WHERE comp_idx = 3) AND {_d2('a', 'b')} <= 6.25 GROUP BY ALL""")
+def _contacts(s: System) -> DataFrame:
+    a = s.trajectory.join(sel.components(s, F.col("comp_idx").isin(1, 2)), "atom_idx")
+    b = s.trajectory.join(sel.components(s, F.col("comp_idx") == 3).select("atom_idx"), "atom_idx")
+    return p.contacts(s, a, b, 2.5).select(F.col("frame").cast("int"), F.col("group_id").cast("long"), "n")
+
+
+# --- properties ------------------------------------------------------------------------------------------------------
+def _points(s: System, name: str) -> DataFrame:
+    return p.positions(s, sel.flatten(sel.components(s, F.col("name") == name)))
+
+
+def _com_sql(alias: str, name: str) -> str:
+    return f"""{alias} AS (SELECT frame, sum(x * mass) / sum(mass) AS x, sum(y * mass) / sum(mass) AS y, sum(z * mass) / sum(mass) AS z
+  FROM traj JOIN (SELECT atom_idx, mass, comp_idx FROM atoms) a USING (atom_idx) JOIN (SELECT comp_idx, name FROM components) c USING (comp_idx) WHERE c.name = '{name}' GROUP BY frame)"""
+
+
+def _value(df: DataFrame) -> DataFrame:
+    return df.select(F.col("frame").cast("int"), F.round("value", _R).alias("value"))
+
+
+@_on_system("distance_com", f"{_com_sql('a', 'SOL')}, {_com_sql('b', 'LYS')} SELECT a.frame::INTEGER AS frame, round(sqrt({_d2('a', 'b')}), {_R}) AS value FROM a JOIN b USING (frame)")
+def _distance(s: System) -> DataFrame:
+    return _value(p.distance(_points(s, "SOL"), _points(s, "LYS"), s.cell))
+
+
+@_on_system("com_plain", f"{_com_sql('a', 'PFT')} SELECT frame::INTEGER AS frame, round(x, {_R}) AS x, round(y, {_R}) AS y, round(z, {_R}) AS z FROM a")
+def _com(s: System) -> DataFrame:
+    return p.com(_points(s, "PFT")).select(F.col("frame").cast("int"), *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+def _circ(c: str) -> str:
+    k = 2 * 3.141592653589793 / _L
+    m = f"atan2(sum(sin({c} * {k}) * mass), sum(cos({c} * {k}) * mass)) / {k}"
+    return f"round({m} - {_L} * floor({m} / {_L}), {_R}) AS {c}"
+
+
+@_on_system("com_pbc", f"SELECT frame::INTEGER AS frame, {', '.join(map(_circ, 'xyz'))} FROM traj JOIN (SELECT atom_idx, mass, comp_idx FROM atoms) a USING (atom_idx) WHERE comp_idx = 2 GROUP BY frame")
+def _com_pbc(s: System) -> DataFrame:
+    return p.com_periodic(p.positions(s, sel.flatten(sel.components(s, F.col("comp_idx") == 2))), s.cell).select(F.col("frame").cast("int"), *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+_PAIRS = f"pr AS (SELECT a.frame, a.atom_idx AS i, b.atom_idx AS j, sqrt({_d2('a', 'b')}) AS d FROM traj a JOIN traj b ON a.frame = b.frame WHERE a.atom_idx <= 10 AND b.atom_idx BETWEEN 11 AND 40) "
+
+
+def _pair_table(s: System) -> DataFrame:
+    return p.distance_pairs(s.trajectory.filter("atom_idx <= 10"), s.trajectory.filter("atom_idx BETWEEN 11 AND 40"), s.cell)
+
+
+@_on_system("distance_pair", _PAIRS + f"SELECT frame::INTEGER AS frame, i, j, round(d, {_R}) AS d FROM pr")
+def _pair(s: System) -> DataFrame:
+    return _pair_table(s).select(F.col("frame").cast("int"), "i", "j", F.round("d", _R).alias("d"))
+
+
+for _name, _f in (("distance_min", F.min), ("distance_max", F.max)):
+    @_on_system(_name, _PAIRS + f"SELECT frame::INTEGER AS frame, round({_name[-3:]}(d), {_R}) AS value FROM pr GROUP BY frame")
+    def _extreme(s: System, f: Callable = _f) -> DataFrame:
+        return _value(_pair_table(s).groupBy("frame").agg(f("d").alias("value")))
+
+
+def _frame_points(s: System) -> list[DataFrame]:
+    return [_points(s, n) for n in ("SOL", "LYS", "PFT", "ALA")]
+
+
+@_on_system("angle", f"""{_com_sql('a', 'SOL')}, {_com_sql('b', 'LYS')}, {_com_sql('c', 'PFT')}
+SELECT frame::INTEGER AS frame, round(acos(((a.x-b.x)*(c.x-b.x)+(a.y-b.y)*(c.y-b.y)+(a.z-b.z)*(c.z-b.z)) / (sqrt((a.x-b.x)^2+(a.y-b.y)^2+(a.z-b.z)^2) * sqrt((c.x-b.x)^2+(c.y-b.y)^2+(c.z-b.z)^2))), {_R}) AS value
+FROM a JOIN b USING (frame) JOIN c USING (frame)""")
+def _angle(s: System) -> DataFrame:
+    return _value(p.angle(*_frame_points(s)[:3]))
+
+
+@_on_system("dihedral", f"""{_com_sql('a', 'SOL')}, {_com_sql('b', 'LYS')}, {_com_sql('c', 'PFT')}, {_com_sql('d', 'ALA')},
+e AS (SELECT a.frame, {', '.join(f"{_mi(f'{q}.{c} - {o}.{c}')} AS {n}{c}" for n, o, q in (('u', 'a', 'b'), ('v', 'b', 'c'), ('w', 'c', 'd')) for c in 'xyz')}
+  FROM a JOIN b USING (frame) JOIN c USING (frame) JOIN d USING (frame)),
+n AS (SELECT *, uy*vz-uz*vy AS px, uz*vx-ux*vz AS py, ux*vy-uy*vx AS pz, vy*wz-vz*wy AS qx, vz*wx-vx*wz AS qy, vx*wy-vy*wx AS qz FROM e)
+SELECT frame::INTEGER AS frame, round(atan2(sqrt(vx*vx+vy*vy+vz*vz) * (ux*qx+uy*qy+uz*qz), px*qx+py*qy+pz*qz), {_R}) AS value FROM n""")
+def _dihedral(s: System) -> DataFrame:
+    return _value(p.dihedral(_frame_points(s), s.cell))
+
+
+for _name, _low in (("rdf", 0.0), ("rdf_range", 2.0)):
+    @_on_system(_name, f"""q AS (SELECT a.frame, round(sqrt({_d2('a', 'b')}), 9) AS d FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx <> b.atom_idx
+  JOIN atoms p ON p.atom_idx = a.atom_idx AND p.element = 'C' JOIN atoms o ON o.atom_idx = b.atom_idx AND o.element = 'O')
+SELECT frame::INTEGER AS frame, least(floor((d - {max(_low, 1e-3)}) / {(5.0 - _low) / 64}), 63)::BIGINT AS bin, count(*) AS n FROM q WHERE d >= {max(_low, 1e-3)} AND d <= 5.0 GROUP BY ALL""")
+    def _rdf(s: System, low: float = _low) -> DataFrame:
+        c, o = (s.trajectory.join(sel.atoms(s, F.col("element") == e), "atom_idx") for e in "CO")
+        return p.rdf(c, o, s.cell, 5.0, low, 64).select(F.col("frame").cast("int"), F.col("bin").cast("long"), "n")
+
+
+for _axis in "xyz":
+    @_on_system(f"density_{_axis}", f"""q AS (SELECT frame, round({_axis} - {_L} * floor({_axis} / {_L}), 9) AS u, mass FROM (SELECT frame, atom_idx, {_axis} FROM traj) JOIN (SELECT atom_idx, mass FROM atoms) USING (atom_idx))
+SELECT frame::INTEGER AS frame, least(floor(u / {_L / 64}), 63)::BIGINT AS bin, round(sum(mass) * {p.DENSITY} / {_L ** 3 / 64}, {_R}) AS value FROM q GROUP BY ALL""")
+    def _density(s: System, axis: str = _axis) -> DataFrame:
+        return p.density(p.positions(s, sel.atoms(s)), axis, s.cell, 64).select(F.col("frame").cast("int"), F.col("bin").cast("long"), F.round("value", _R).alias("value"))
+
+
+_OF = "FROM (SELECT frame, atom_idx, x, y, z FROM traj) JOIN (SELECT atom_idx, mass, comp_idx FROM atoms) USING (atom_idx)"
+_COV = "cov AS (SELECT frame, comp_idx, " + ", ".join(f"sum({a}*{b}*mass)/sum(mass) - sum({a}*mass)/sum(mass)*(sum({b}*mass)/sum(mass)) AS {a}{b}" for a, b in ("xx", "yy", "zz", "xy", "xz", "yz")) + f" {_OF} GROUP BY ALL)"
+
+
+@_on_system("shape_weights", _COV + f""",
+q AS (SELECT *, (xx+yy+zz)/3 AS q FROM cov), s AS (SELECT *, sqrt(((xx-q)*(xx-q)+(yy-q)*(yy-q)+(zz-q)*(zz-q)+2*(xy*xy+xz*xz+yz*yz))/6) AS p FROM q),
+r AS (SELECT *, acos(greatest(-1, least(1, ((xx-q)*((yy-q)*(zz-q)-yz*yz) - xy*(xy*(zz-q)-yz*xz) + xz*(xy*yz-(yy-q)*xz)) / (2*p*p*p))))/3 AS phi FROM s),
+l AS (SELECT frame, comp_idx, q, q+2*p*cos(phi) AS a, q+2*p*cos(phi+2.0943951023931953) AS c FROM r), e AS (SELECT frame, comp_idx, a, 3*q-a-c AS b, c FROM l)
+SELECT frame::INTEGER AS frame, comp_idx, round((a-b)/(a+b+c), {_R}) AS linear, round(2*(b-c)/(a+b+c), {_R}) AS planar, round(3*c/(a+b+c), {_R}) AS isotropic FROM e""")
+def _shape(s: System) -> DataFrame:
+    return p.shape_weights(p.positions(s, sel.atoms(s)), ("frame", "comp_idx")).select(F.col("frame").cast("int"), "comp_idx", *[F.round(c, _R).alias(c) for c in ("linear", "planar", "isotropic")])
+
+
+@_on_system("aabb", "SELECT frame::INTEGER AS frame, comp_idx, " + ", ".join(f"round({f}({c}), {_R}) AS {f}_{c}" for f in ("min", "max") for c in "xyz") + f" {_OF} GROUP BY ALL")
+def _aabb(s: System) -> DataFrame:
+    b = p.bounds(p.positions(s, sel.atoms(s)), ("frame", "comp_idx"))
+    return b.select(F.col("frame").cast("int"), "comp_idx", *[F.round(c, _R).alias(c) for c in b.columns[2:]])
+
+
+for _name, _col in (("count_atom", "atom_idx"), ("count_residue", "comp_idx"), ("count_chain", "inst_idx")):
+    @_on_system(_name, f"SELECT frame::INTEGER AS frame, count(DISTINCT {_col}) AS n FROM traj t JOIN (SELECT atom_idx, comp_idx FROM atoms) USING (atom_idx) JOIN (SELECT comp_idx, inst_idx FROM components) USING (comp_idx) WHERE x > 5 GROUP BY frame")
+    def _count(s: System, col: str = _col) -> DataFrame:
+        t = s.trajectory.filter("x > 5").join(s.atoms.select("atom_idx", "comp_idx"), "atom_idx").join(s.components.select("comp_idx", "inst_idx"), "comp_idx")
+        return t.groupBy(F.col("frame").cast("int").alias("frame")).agg(F.count_distinct(col).alias("n"))
+
+
+@_on_system("coord_xyz", f"SELECT frame::INTEGER AS frame, atom_idx, round(x, {_R}) AS x, round(y, {_R}) AS y, round(z, {_R}) AS z FROM traj WHERE atom_idx <= 25")
+def _coord(s: System) -> DataFrame:
+    return s.trajectory.filter("atom_idx <= 25").select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+@_on_system("pbc_wrap", "SELECT frame::INTEGER AS frame, atom_idx, " + ", ".join(f"round({c} - {_L} * floor({c} / {_L}), {_R}) AS {c}" for c in "xyz") + " FROM traj")
+def _wrap(s: System) -> DataFrame:
+    return s.trajectory.select(F.col("frame").cast("int"), "atom_idx", *[F.round(g.wrap(F.col(c), n), _R).alias(c) for c, n in zip("xyz", s.cell, strict=True)])
+
+
+@_on_system("interp_linear", "n AS (SELECT *, " + ", ".join(f"lead({c}) OVER w AS n{c}" for c in "xyz") + " FROM traj WINDOW w AS (PARTITION BY atom_idx ORDER BY frame)) SELECT frame::INTEGER AS frame, atom_idx, "
+            + ", ".join(f"round({c} + {_mi(f'n{c} - {c}')} * 0.25, {_R}) AS {c}" for c in "xyz") + " FROM n WHERE nx IS NOT NULL")
+def _interp(s: System) -> DataFrame:
+    return p.interpolate(s, 0.25).select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+@_on_system("property_temporal_stats", f"SELECT frame::INTEGER AS frame, round(avg(x), {_R}) AS mean, round(var_pop(x), {_R}) AS var, round(min(x), {_R}) AS min, round(max(x), {_R}) AS max FROM traj GROUP BY frame")
+def _stats(s: System) -> DataFrame:
+    return p.frame_stats(s.trajectory, "x").select(F.col("frame").cast("int"), *[F.round(c, _R).alias(c) for c in ("mean", "var", "min", "max")])
+
+
+@_on_system("bond_degree", "SELECT i AS atom_idx, count(*) AS n FROM (SELECT i, j FROM bonds UNION ALL SELECT j, i FROM bonds) GROUP BY i")
+def _degree(s: System) -> DataFrame:
+    return s.bonds.select("i").union(s.bonds.select("j")).groupBy(F.col("i").alias("atom_idx")).agg(F.count("*").alias("n"))
+
+
+@_on_system("morton_sort", """t AS (SELECT * FROM traj WHERE frame = 0), b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x)-min(x), max(y)-min(y), max(z)-min(z)) AS e FROM t),
+k AS (SELECT atom_idx, floor((x-lx)/e*1023+0.5)::BIGINT AS x, floor((y-ly)/e*1023+0.5)::BIGINT AS y, floor((z-lz)/e*1023+0.5)::BIGINT AS z FROM t, b)
+SELECT atom_idx, """ + " + ".join(f"((({c} >> {i}) & 1) << {3 * i + k})" for i in range(10) for k, c in enumerate("xyz")) + " AS key FROM k")
+def _morton(s: System) -> DataFrame:
+    return p.morton(s.trajectory.filter("frame = 0"))
+
+
+# --- arrays and scalars ----------------------------------------------------------------------------------------------
+_V = "e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS a FROM embeddings) "
+
+
+def _array_query(name: str, select: str, build: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: build(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("a")))
+    ORACLE_SQL[name] = f"WITH {_V} SELECT vec_id, {select} FROM e"
+
+
+_sum = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, x: s + x), _R)
+_array_query("array_add", f"round(list_sum(list_transform(a, lambda v: v + v)), {_R}) AS value", lambda d: d.select("vec_id", _sum(arr.elementwise("+", F.col("a"), F.col("a"))).alias("value")))
+_array_query("array_scalar_mul", f"round(list_sum(list_transform(a, lambda v: v * 2.5)), {_R}) AS value", lambda d: d.select("vec_id", _sum(arr.with_scalar("*", F.col("a"), F.lit(2.5))).alias("value")))
+_array_query("array_min_max", f"round(list_min(a), {_R}) AS lo, round(list_max(a), {_R}) AS hi", lambda d: d.select("vec_id", F.round(F.array_min("a"), _R).alias("lo"), F.round(F.array_max("a"), _R).alias("hi")))
+_array_query("vec_dot_norm", f"round(list_inner_product(a[1:3], a[4:6]), {_R}) AS dot, round(sqrt(list_inner_product(a, a)), {_R}) AS length", lambda d: d.select("vec_id", F.round(arr.dot(F.slice("a", 1, 3), F.slice("a", 4, 3)), _R).alias("dot"), F.round(arr.length(F.col("a")), _R).alias("length")))
+_array_query("vec_cross", f"round(a[2]*a[6]-a[3]*a[5], {_R}) AS x, round(a[3]*a[4]-a[1]*a[6], {_R}) AS y, round(a[1]*a[5]-a[2]*a[4], {_R}) AS z", lambda d: d.withColumn("c", arr.cross(F.slice("a", 1, 3), F.slice("a", 4, 3))).select("vec_id", *[F.round(F.col("c")[i], _R).alias(n) for i, n in enumerate("xyz")]))
+_array_query("subscript_stride", f"round(a[1] + a[3] + a[5] + a[7], {_R}) AS value", lambda d: d.select("vec_id", _sum(arr.subscript(F.col("a"), 1, 7, 2)).alias("value")))
+_array_query("cmp_lt_gt", "len(list_filter(a, lambda v: v < 0.1))::BIGINT AS lt, len(list_filter(a, lambda v: v > 0.1))::BIGINT AS gt", lambda d: d.select("vec_id", *[F.size(F.filter(arr.with_scalar(o, F.col("a"), F.lit(0.1)), lambda x: x)).cast("long").alias(n) for o, n in (("<", "lt"), (">", "gt"))]))
+_array_query("transpose", f"round(a[1]*a[2] + a[3]*a[4] + a[5]*a[6], {_R}) AS value", lambda d: d.withColumn("t", arr.transpose(F.array(F.slice("a", 1, 2), F.slice("a", 3, 2), F.slice("a", 5, 2)), 2)).select("vec_id", F.round(arr.dot(F.col("t")[0], F.col("t")[1]), _R).alias("value")))
+_array_query("scalar_math", "round(sqrt(abs(a[1])), 4) AS sqrt, round(exp(a[1]), 4) AS exp, round(ln(abs(a[1]) + 1), 4) AS ln, round(log10(abs(a[1]) + 1), 4) AS log10, round(sin(a[1]), 4) AS sin, round(atan2(a[1], a[2]), 4) AS atan2, floor(a[1] * 10)::BIGINT AS floor, ceil(a[1] * 10)::BIGINT AS ceil",
+             lambda d: d.withColumns({"x": F.col("a")[0], "y": F.col("a")[1]}).select("vec_id", F.round(F.sqrt(F.abs("x")), 4).alias("sqrt"), F.round(F.exp("x"), 4).alias("exp"), F.round(F.log(F.abs("x") + 1), 4).alias("ln"), F.round(F.log10(F.abs("x") + 1), 4).alias("log10"),
+                                                                      F.round(F.sin("x"), 4).alias("sin"), F.round(F.atan2("x", "y"), 4).alias("atan2"), F.floor(F.col("x") * 10).cast("long").alias("floor"), F.ceil(F.col("x") * 10).cast("long").alias("ceil")))
+
+
+# --- imported tables and strings -------------------------------------------------------------------------------------
+def _import_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of a table joined to frames by time, equal within a tolerance: an equi-join on buckets twice as wide, and their neighbours."""
+    tol = 0.25
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", (F.pmod(F.col("event_id"), F.lit(1000)) / 7.0).alias("time"), "value")
+    f = spark.range(0, 21).select(F.col("id").alias("frame"), F.col("id").cast("double").alias("t"))
+    e = e.withColumn("b", F.floor(F.col("time") / (2 * tol)))
+    f = f.withColumn("b", F.explode(F.array(*[F.floor(F.col("t") / (2 * tol)) + i for i in (-1, 0, 1)])))
+    return e.join(f, "b").filter(F.abs(F.col("time") - F.col("t")) <= tol).groupBy("frame").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+
+
+QUERIES["import_time_join"] = _import_join
+ORACLE_SQL["import_time_join"] = """SELECT frame, count(*) AS n, round(avg(value), 4) AS mean FROM (SELECT (event_id % 1000) / 7.0::DOUBLE AS time, value FROM events) e
+JOIN (SELECT unnest(range(0, 21)) AS frame) f ON abs(time - frame) <= 0.25 GROUP BY frame"""
+
+QUERIES["levenshtein_suggest"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", F.levenshtein(F.lower("n_name"), F.lit("germny")).cast("long").alias("d")).orderBy("d", "n_name").limit(3)
+ORACLE_SQL["levenshtein_suggest"] = "SELECT n_name, levenshtein(lower(n_name), 'germny') AS d FROM nation ORDER BY d, n_name LIMIT 3"
