@@ -8,11 +8,12 @@ ordered tuple with a probability that grows with their likeness.  Texts that sha
 Candidates are verified by a banded alignment of their words: similarity is 1 - edit distance / longer length, and 0.8 or
 more makes a link; the band is as wide as such a distance allows.  Classes are the connected components of links.
 
-Texts of equal words are one node throughout.  In a bucket, members are first compared with the bucket's least members of
-like length, so that a bucket of n near copies costs about n comparisons.  Buckets whose members then still lie in several
-components are compared exhaustively: each member outside the component of the bucket's least one with all members of other
-components, where both share at least AGREE tuples.  So every such pair is either compared or already joined, and no cap
-drops any.
+Texts of equal words are one node throughout.  Each node is first compared with the least of all members of like length in
+its buckets, then with the least members of the buckets where it lies in another component, so that n near copies cost about
+n comparisons.  Buckets whose members then still lie in several components are compared exhaustively: each member outside the
+component of the bucket's least one with all members of other components, where both share at least AGREE tuples and their
+words, counted by hash, do not differ too much for the similarity.  So every such pair is either compared or already joined,
+or cannot be alike, and no cap drops any.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ SKETCHES, LENGTH = 40, 3
 #: Tuples that a pair of the exhaustive step shares at least.  Texts whose five-word shingles are alike by 0.8 share 20 on
 #: average, and fewer than 4 once in a hundred million pairs.
 AGREE = 4
+#: Bins by hash in which a text's words are counted.
+BINS = 64
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.random.default_rng(20240501).integers(1, 2**63, size=(2, SKETCHES), dtype=np.uint64) | np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -175,14 +178,17 @@ def _banded(a: list[str], b: list[str], band: int) -> int:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = _Hashes()
     for b in batches:
-        keys, n, sketches = [], [], []
+        keys, n, bags, sketches = [], [], [], []
         for t in b.column(1):
             text = t.as_py()
             found = words(text)
             keys.append(hashlib.md5((" ".join(found) if found else f"\n{text}").encode("utf-8", "surrogatepass")).digest())
             n.append(len(found))
-            sketches.append(sketch(kmers(hashes.of(found))) if found else [])
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(sketches, pa.list_(pa.int64()))], names=[*b.schema.names, "key", "n", "sketch"])
+            h = hashes.of(found)
+            bags.append(np.bincount((h >> np.uint64(40)).astype(np.int64) % BINS, minlength=BINS))
+            sketches.append(sketch(kmers(h)) if found else [])
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(bags, pa.list_(pa.int32())), pa.array(sketches, pa.list_(pa.int64()))],
+                                         names=[*b.schema.names, "key", "n", "bag", "sketch"])
 
 
 def _verify(least: float) -> Callable:
@@ -213,17 +219,27 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
             return label
 
 
+def merged(comp: DataFrame | None, links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """``comp`` (vid, comp) after further links (a, b) between its vids or new ones; only components that the links join are walked anew."""
+    if comp is None:
+        return components(links, scratch, name)
+    ends = links.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    grown = components(ends.filter("a <> b"), scratch, name).toDF("comp", "root")
+    fresh = grown.select(F.col("comp").alias("vid")).join(comp, "vid", "left_anti").select("vid", F.col("vid").alias("comp"))
+    return scratch.save(comp.unionByName(fresh).join(grown, "comp", "left").select("vid", F.coalesce("root", "comp").alias("comp")), f"{name}-all")
+
+
 def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """The rows as (row, uid, key), and (key, class_id, class_size, keep_uid, links) for each distinct key."""
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(text_col, F.lit("")).alias("text"))
-    signed = rows.mapInArrow(_signed, f"{rows._jdf.schema().toDDL()}, key binary, n int, sketch array<bigint>")
-    signed = scratch.save(signed.select(F.monotonically_increasing_id().alias("uid"), F.col("row")[id_col].cast("long").alias("doc_id"), "row", "key", "n", "sketch"), "signed")
+    signed = rows.mapInArrow(_signed, f"{rows._jdf.schema().toDDL()}, key binary, n int, bag array<int>, sketch array<bigint>")
+    signed = scratch.save(signed.select(F.monotonically_increasing_id().alias("uid"), F.col("row")[id_col].cast("long").alias("doc_id"), "row", "key", "n", "bag", "sketch"), "signed")
     # nodes: distinct keys, each with its least document
     order = F.struct("doc_id", "uid")
     nodes = signed.groupBy("key").agg(F.min(order).alias("top"), F.count("*").alias("copies"))
     nodes = scratch.save(nodes.select("key", F.col("top.doc_id").alias("doc_id"), F.col("top.uid").alias("uid"), "copies", F.monotonically_increasing_id().alias("vid")), "nodes")
-    members = scratch.save(signed.select("uid", "n", "sketch").join(nodes.select("uid", "vid").hint("merge"), "uid").select("vid", "n", "sketch"), "sketches")
-    sketches = members.select("vid", "sketch")
+    members = scratch.save(signed.select("uid", "n", "bag", "sketch").join(nodes.select("uid", "vid").hint("merge"), "uid").select("vid", "n", "bag", "sketch"), "sketches")
+    sketches = members.select("vid", "bag", "sketch")
     members = members.select("vid", "n", F.explode("sketch").alias("sig"))
     members = members.withColumn("size", F.floor(F.log("n") / F.log(F.lit(1 / similarity))).cast("int"))
     buckets = scratch.save(members, "members")
@@ -241,11 +257,15 @@ def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str
         both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
         return scratch.save(both.mapInArrow(_verify(similarity), "a long, b long"), f"{name}-links")
 
-    # first with the least member of the same and of the next smaller size in the bucket
+    # first with the least member of the same and of the next smaller size in all the buckets, then in each
     reps = scratch.save(buckets.groupBy("sig", "size").agg(F.min(F.struct("vid", "n")).alias("r")).select("sig", "size", F.col("r.vid").alias("b"), F.col("r.n").alias("m")), "reps")
     near = reps.select("sig", F.explode(F.array("size", F.col("size") + 1)).alias("size"), "b", "m")
-    links = verified(buckets.withColumnRenamed("vid", "a").join(near, ["sig", "size"]).filter(like), "star")
-    comp = components(links, scratch, "star-comp")
+    stars = scratch.save(buckets.withColumnRenamed("vid", "a").join(near, ["sig", "size"]).filter(like).filter("a <> b").select("a", "b").distinct(), "stars")
+    links = verified(stars.groupBy("a").agg(F.min("b").alias("b")), "star")
+    comp = merged(None, links, scratch, "star-comp")
+    apart = stars.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    more = verified(apart, "stars")
+    links, comp = links.union(more).distinct(), merged(comp, more, scratch, "stars-comp")
     # then what still lies apart
     placed = scratch.save(buckets.join(comp, "vid", "left").select("sig", "vid", "n", F.coalesce("comp", "vid").alias("comp")), "placed")
     main = shared.join(comp.withColumnRenamed("vid", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("main"))
@@ -253,12 +273,15 @@ def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str
     main = scratch.save(main.join(mixed, "sig"), "mixed")
     placed = scratch.save(placed.join(main, "sig"), "apart")
     placed = scratch.save(placed.join(sketches, "vid"), "apart-sketched")
-    agree = F.size(F.filter(F.zip_with("ka", "kb", lambda x, y: x == y), lambda x: x)) >= AGREE
-    a = placed.filter("comp <> main").select("sig", F.col("vid").alias("a"), "n", F.col("comp").alias("ca"), F.col("sketch").alias("ka"))
-    b = placed.select(F.col("sketch").alias("kb"), F.col("sig").alias("s2"), F.col("vid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
-    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & agree), "rest")
-    links = links.union(more)
-    comp = components(links, scratch, "comp")
+    a = placed.filter("comp <> main").select("sig", F.col("vid").alias("a"), "n", F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("bag").alias("ba"))
+    b = placed.select(F.col("sketch").alias("kb"), F.col("bag").alias("bb"), F.col("sig").alias("s2"), F.col("vid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    tuples = F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
+    agree = (F.size(tuples) >= AGREE) & (F.get(tuples, F.lit(0)) == F.col("sig"))  # in the first of the pair's buckets only
+    # each word too many on one side takes an edit of its own
+    over = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    near = F.greatest(over, over + F.col("m") - F.col("n")) <= F.floor(F.greatest("n", "m") * (1 - similarity) + 1e-9)
+    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & agree & near), "rest")
+    links, comp = links.union(more), merged(comp, more, scratch, "comp")
     degree = links.select(F.col("a").alias("vid")).union(links.select(F.col("b").alias("vid"))).groupBy("vid").agg(F.count("*").alias("links"))
     whole = scratch.save(nodes.join(comp, "vid", "left").join(degree, "vid", "left").select("key", "doc_id", "uid", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "vid").alias("comp")), "classes")
     groups = whole.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.min(order).alias("top"))
