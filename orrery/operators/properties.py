@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -117,6 +118,45 @@ def interpolate(s: System, t: float) -> DataFrame:
     return out.filter("nx IS NOT NULL").select("frame", "atom_idx", *[(F.col(c) + g.min_image(F.col(f"n{c}") - F.col(c), n) * t).alias(c) for c, n in zip("xyz", s.cell, strict=True)])
 
 
+def interpolate_cubic(s: System, t: float, tension: float = 0.5) -> DataFrame:
+    """(frame, atom_idx, x, y, z) between each frame and the next, by a cardinal spline through four frames."""
+    t, w = min(1.0, max(0.0, t)), Window.partitionBy("atom_idx").orderBy("frame")
+    out = s.trajectory
+    for c in "xyz":
+        out = out.withColumns({f"a{c}": F.lag(c).over(w), f"c{c}": F.lead(c).over(w), f"d{c}": F.lead(c, 2).over(w)})
+
+    def at(c: str, length: float) -> Column:
+        # the other three points, seen from the one before t across periodic borders
+        a = g.min_image(F.col(f"a{c}") - F.col(c), length)
+        n = g.min_image(F.col(f"c{c}") - F.col(c), length)
+        d = n + g.min_image(F.col(f"d{c}") - F.col(f"c{c}"), length)
+        first, last = (n - a) * tension, d * tension
+        return F.col(c) + first * t + (n * 3 - first * 2 - last) * (t * t) + (first + last - n * 2) * (t * t * t)
+
+    return out.filter("ax IS NOT NULL AND dx IS NOT NULL").select("frame", "atom_idx", *[at(c, n).alias(c) for c, n in zip("xyz", s.cell, strict=True)])
+
+
+def structures(s: System) -> DataFrame:
+    """(atom_idx, structure): the least atom of the connected structure of bonds, for each atom.
+
+    Least labels spread along bonds and jump over what they have reached already, so rounds are about the logarithm of the
+    longest path; each round is written by checkpoint(), in the folder that the cluster names.
+    """
+    spark = s.atoms.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+    edges = s.bonds.select("i", "j").union(s.bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct().checkpoint()
+    label = s.atoms.select("atom_idx", F.col("atom_idx").alias("structure"))
+    while True:
+        near = edges.join(label.toDF("j", "near"), "j").groupBy(F.col("i").alias("atom_idx")).agg(F.min("near").alias("near"))
+        step = label.join(near, "atom_idx", "left").select("atom_idx", F.col("structure").alias("old"), F.least("structure", F.coalesce("near", "structure")).alias("structure")).checkpoint()
+        far = step.select(F.col("atom_idx").alias("structure"), F.col("structure").alias("further"))
+        moved = step.join(far, "structure").select("atom_idx", "old", F.col("further").alias("structure")).checkpoint()
+        label = moved.select("atom_idx", "structure")
+        if not moved.filter("structure <> old").limit(1).count():
+            return label
+
+
 def frame_stats(values: DataFrame, value: str = "value") -> DataFrame:
     return values.groupBy("frame").agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var"), F.min(value).alias("min"), F.max(value).alias("max"))
 

@@ -12,6 +12,7 @@ from orrery.functions import geometry as g
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
 from orrery.operators import spatial
+from orrery.plans import language
 from orrery.schema import System
 from orrery.sources.surrogate import CELL, sql, system
 
@@ -104,6 +105,22 @@ def _khop(s: System) -> DataFrame:
     return _keys(sel.grow_by_bonds(s, sel.atoms(s, F.col("atom_idx") == 17), 3))
 
 
+# --- the selection language ------------------------------------------------------------------------------------------
+_NAMED = "a.comp_idx IN (SELECT comp_idx FROM components WHERE name = '{}')"
+for _name, _text, _where in (
+    ("filter_boolean", "element('C') and not resname('SOL') or atom(1:10)", f"a.element = 'C' AND NOT {_NAMED.format('SOL')} OR a.atom_idx BETWEEN 1 AND 10"),
+    ("filter_strided", "atom(2:3:200) and type('C*', '*1')", "a.atom_idx BETWEEN 2 AND 200 AND (a.atom_idx - 2) % 3 = 0 AND (type LIKE 'C%' OR type LIKE '%1')"),
+    ("filter_expand", "residue(atom(1:2))", "a.comp_idx IN (SELECT comp_idx FROM atoms WHERE atom_idx BETWEEN 1 AND 2)"),
+    ("filter_box", "within_xyz(-4:4, -3:3, 0:5) xor backbone", "(a.atom_idx IN (SELECT atom_idx FROM traj WHERE frame = 0 AND x BETWEEN -4 AND 4 AND y BETWEEN -3 AND 3 AND z BETWEEN 0 AND 5)) <> (flags & 4 <> 0)"),
+):
+    _on_system(_name, f"SELECT a.atom_idx FROM atoms a WHERE {_where}")(lambda s, q=_text: _keys(language.filter_atoms(s, q)))
+
+
+@_on_system("filter_in_context", "r AS (SELECT atom_idx, comp_idx, row_number() OVER (PARTITION BY comp_idx ORDER BY atom_idx) AS k FROM atoms) SELECT comp_idx AS group_id, atom_idx FROM r WHERE k <= 2")
+def _in_context(s: System) -> DataFrame:
+    return _groups(language.select(s, "atom(1:2) in residue(:)"))
+
+
 # --- spatial ---------------------------------------------------------------------------------------------------------
 def _mi(d: str) -> str:
     return f"(({d}) - {_L} * round(({d}) / {_L}))"
@@ -276,6 +293,26 @@ def _interp(s: System) -> DataFrame:
     return p.interpolate(s, 0.25).select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
 
 
+_CUBIC = "n AS (SELECT *, " + ", ".join(f"lag({c}) OVER w AS a{c}, lead({c}) OVER w AS c{c}, lead({c}, 2) OVER w AS d{c}" for c in "xyz") + " FROM traj WINDOW w AS (PARTITION BY atom_idx ORDER BY frame)) SELECT frame::INTEGER AS frame, atom_idx, "
+
+
+def _cubic_sql(c: str) -> str:
+    a, d = _mi(f"a{c} - {c}"), _mi(f"c{c} - {c}")
+    e = f"({d} + {_mi(f'd{c} - c{c}')})"
+    return f"round({c} + ({d} - {a}) / 2 * 0.25 + ({a} + 2 * {d} - {e} / 2) * 0.0625 + ((-{a} - 3 * {d} + {e}) / 2) * 0.015625, {_R}) AS {c}"
+
+
+@_on_system("interp_cubic", _CUBIC + ", ".join(map(_cubic_sql, "xyz")) + " FROM n WHERE ax IS NOT NULL AND dx IS NOT NULL")
+def _interp_cubic(s: System) -> DataFrame:
+    return p.interpolate_cubic(s, 0.25).select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+@_on_system("structures", """e AS (SELECT i, j FROM bonds UNION ALL SELECT j, i FROM bonds UNION ALL SELECT atom_idx, atom_idx FROM atoms)
+SELECT atom_idx, min(atom_idx) OVER (PARTITION BY comp_idx) AS structure FROM atoms WHERE atom_idx IN (SELECT i FROM e)""")
+def _structures(s: System) -> DataFrame:
+    return p.structures(s).select("atom_idx", "structure")
+
+
 @_on_system("property_temporal_stats", f"SELECT frame::INTEGER AS frame, round(avg(x), {_R}) AS mean, round(var_pop(x), {_R}) AS var, round(min(x), {_R}) AS min, round(max(x), {_R}) AS max FROM traj GROUP BY frame")
 def _stats(s: System) -> DataFrame:
     return p.frame_stats(s.trajectory, "x").select(F.col("frame").cast("int"), *[F.round(c, _R).alias(c) for c in ("mean", "var", "min", "max")])
