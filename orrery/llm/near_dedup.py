@@ -11,9 +11,9 @@ more makes a link; the band is as wide as such a distance allows.  Classes are t
 Texts of equal words are one node throughout.  Each node is first compared with the least of all members of like length in
 its buckets, then with the least members of the buckets where it lies in another component, so that n near copies cost about
 n comparisons.  Buckets whose members then still lie in several components are compared exhaustively: each member outside the
-component of the bucket's least one with all members of other components, where both share at least AGREE tuples and their
-words, counted by hash, do not differ too much for the similarity.  So every such pair is either compared or already joined,
-or cannot be alike, and no cap drops any.
+component of the bucket's least one with all members of other components, in the first bucket that both share, where their
+words, counted by hash, do not differ too much for the similarity.  So every pair that shares a tuple is either compared or
+already joined, or cannot be alike, and no cap drops any.
 """
 
 from __future__ import annotations
@@ -34,9 +34,6 @@ from .shared import Scratch, table
 K, SIMILARITY = 5, 0.8
 #: Hash functions, and k-mers that each picks.
 SKETCHES, LENGTH = 40, 3
-#: Tuples that a pair of the exhaustive step shares at least.  Texts whose five-word shingles are alike by 0.8 share 20 on
-#: average, and fewer than 4 once in a hundred million pairs.
-AGREE = 4
 #: Bins by hash in which a text's words are counted.
 BINS = 64
 _WORDS = re.compile(r"\w+").findall
@@ -276,11 +273,11 @@ def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str
     a = placed.filter("comp <> main").select("sig", F.col("vid").alias("a"), "n", F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("bag").alias("ba"))
     b = placed.select(F.col("sketch").alias("kb"), F.col("bag").alias("bb"), F.col("sig").alias("s2"), F.col("vid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
     tuples = F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
-    agree = (F.size(tuples) >= AGREE) & (F.get(tuples, F.lit(0)) == F.col("sig"))  # in the first of the pair's buckets only
+    once = F.get(tuples, F.lit(0)) == F.col("sig")  # in the first of the pair's buckets only
     # each word too many on one side takes an edit of its own
     over = F.aggregate(F.zip_with("ba", "bb", lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
     near = F.greatest(over, over + F.col("m") - F.col("n")) <= F.floor(F.greatest("n", "m") * (1 - similarity) + 1e-9)
-    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & agree & near), "rest")
+    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & near & once), "rest")
     links, comp = links.union(more), merged(comp, more, scratch, "comp")
     degree = links.select(F.col("a").alias("vid")).union(links.select(F.col("b").alias("vid"))).groupBy("vid").agg(F.count("*").alias("links"))
     whole = scratch.save(nodes.join(comp, "vid", "left").join(degree, "vid", "left").select("key", "doc_id", "uid", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "vid").alias("comp")), "classes")

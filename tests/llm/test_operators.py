@@ -224,3 +224,28 @@ def test_near(spark, docs, none):
     kept = near_dedup.keep_one(spark, docs)
     assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
     assert near_dedup.near_duplicates(spark, none).count() == 0
+
+
+def _scattered(rng, text, n):
+    """``text`` with ``n`` of its words changed, spread evenly."""
+    at = {int((i + 0.5) * len(text) / n) for i in range(n)}
+    return [f"new{rng.randrange(10**9)}" if i in at else w for i, w in enumerate(text)]
+
+
+def test_near_hot_buckets(spark):
+    """Near copies that share a few tuples only, among unlike texts that share a passage with them."""
+    rng = random.Random(11)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(50)]
+    texts = [passage + [f"u{rng.randrange(10**9)}" for _ in range(50)] for _ in range(60)]
+    for _ in range(30):
+        own = [f"w{rng.randrange(10**9)}" for _ in range(50)]
+        texts += [passage + own, passage + _scattered(rng, own, 18)]
+    sketches = [near_dedup.sketch(near_dedup.kmers(near_dedup._Hashes().of(t))) for t in texts]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if (sketches[i] == sketches[j]).any() and near_dedup.edit_similarity(texts[i], texts[j]) >= 0.8]
+    assert sum((sketches[i] == sketches[j]).sum() <= 3 for i, j in pairs) >= 5
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    by = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark, docs).collect()}
+    root = list(range(len(texts)))
+    for i, j in sorted(pairs):
+        root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    assert [by[i] for i in range(len(texts))] == root
