@@ -3,7 +3,9 @@
 Documents are linked by rare lines: each line that few documents hold links every later document to the first that holds
 it.  Each linked pair is aligned by patience diff, and common blocks of enough words are deleted from the later document.
 Of a frequent line, which would link too many documents to be told apart by it, all but the first document's copies are
-deleted directly, without an alignment; so no pair of documents is ever formed through it.
+deleted directly, without an alignment; so no pair of documents is ever formed through it.  The same goes for frequent runs:
+from each line on, and up to each line, the fewest adjacent lines that together have enough words.  Every common block of
+enough words consists of such runs, so that blocks of short or blank lines go however many documents hold them.
 
 What crosses the network for linking and aligning are digests of lines.  Documents are ordered by id, then by digest.
 """
@@ -14,6 +16,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +27,7 @@ from .shared import Scratch, table
 RARE = 50
 #: Words that a block of deleted lines has at least.
 MIN_WORDS = 5
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def _uses(items: list) -> list[tuple]:
@@ -114,6 +118,55 @@ def _align(min_words: int) -> Callable:
     return run
 
 
+def runs(digests: list[bytes], words: list[int], min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Hash, start and stop of the shortest runs of two or more lines with enough words, from each line on and up to each line."""
+    size = len(words)
+    total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    stop = np.searchsorted(total, total[:-1] + min_words, "left")
+    start = np.searchsorted(total, total[1:] - min_words, "right") - 1
+    at = np.arange(size)
+    found = np.concatenate([np.stack([at, stop], 1)[stop <= size], np.stack([start, at + 1], 1)[start >= 0]])
+    found = np.unique(found[found[:, 1] - found[:, 0] > 1], axis=0)
+    start, stop = found[:, 0], found[:, 1]
+    if not len(found):
+        return [], start, stop
+    halves, hashed = np.frombuffer(b"".join(digests), dtype="<u8").reshape(size, 2), []
+    with np.errstate(over="ignore"):
+        for k, base in enumerate(_BASES):  # sums of digests times powers of a base; a run's is moved to power 0 by the inverse
+            power, back = (np.cumprod(np.array([1] + [b] * size, dtype=np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[:, k] * power[:-1], dtype=np.uint64)])
+            hashed.append((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
+    return [x.tobytes() for x in np.stack(hashed, 1)], start, stop
+
+
+def _runs(min_words: int) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[list] = [[], [], [], [], [], []]
+            for doc, dig, digests, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                seen: set[bytes] = set()
+                for x, i, j in zip(*runs(digests, words, min_words), strict=True):
+                    for column, y in zip(rows, (doc, dig, x, int(i), int(j), x not in seen), strict=True):
+                        column.append(y)
+                    seen.add(x)
+            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "dig", "run", "start", "stop", "once"])
+
+    return run
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The places that runs cover, each once."""
+    for b in batches:
+        out = []
+        for starts, stops in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            depth = np.zeros(max(stops) + 1, dtype=np.int64)
+            np.add.at(depth, starts, 1)
+            np.add.at(depth, stops, -1)
+            out.append(np.nonzero(np.cumsum(depth))[0].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "dig", "places"])
+
+
 def _digest(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))).cast("binary")))
 
@@ -128,6 +181,9 @@ def deletions(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: st
     lines = rows.select("doc_id", "dig", F.explode(F.array_distinct(F.arrays_zip("h", "n"))).alias("x")).select("doc_id", "dig", "x.h", "x.n").filter("n > 0")
     held = lines.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first"), F.max("n").alias("n")).filter("df > 1")
     held = scratch.save(held, "held")
+    series = scratch.save(rows.select("doc_id", "dig", "h", "n").mapInArrow(_runs(min_words), "doc_id long, dig binary, run binary, start int, stop int, once boolean"), "runs")
+    held_runs = series.filter("once").groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first")).filter("df > 1")
+    held_runs = scratch.save(held_runs, "held-runs")
     few = held.filter(F.col("df") <= rare).select("h", F.col("first.dig").alias("first"))
     pairs = lines.join(few, "h").filter("dig <> first").select("doc_id", "dig", "first").distinct()
     of = rows.select(F.col("dig").alias("first"), F.col("h").alias("first_h"))
@@ -136,7 +192,10 @@ def deletions(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: st
     many = held.filter((F.col("df") > rare) & (F.col("n") >= min_words)).select("h", F.col("first.dig").alias("first"))
     at = rows.select("doc_id", "dig", F.posexplode("h").alias("place", "h"))
     frequent = at.join(many, "h").filter("dig <> first").groupBy("doc_id", "dig").agg(F.collect_list("place").alias("places"))
-    found = scratch.save(aligned.unionByName(frequent), "found")
+    in_many = series.join(held_runs.filter(F.col("df") > rare).select("run", F.col("first.dig").alias("first")), "run").filter("dig <> first")
+    in_many = in_many.groupBy("doc_id", "dig").agg(F.collect_list(F.struct("start", "stop")).alias("x")).select("doc_id", "dig", "x.start", "x.stop")
+    blocks = in_many.mapInArrow(_places, "doc_id long, dig binary, places array<int>")
+    found = scratch.save(aligned.unionByName(frequent).unionByName(blocks), "found")
     return scratch.save(found.groupBy("dig").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "deletions")
 
 
@@ -165,8 +224,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", te
 
     Lines are compared without the white space around them.  Blank lines link nothing and are deleted only within a
     common block.  Earlier is the smaller id (null first), then the smaller digest; rows that repeat both id and text are
-    one document and are edited alike.  A frequent line of fewer than ``min_words`` words links nothing.  A document that
-    loses all its lines stays, with an empty text; a null text stays null.  ``n_chars``, where there is one, follows.
+    one document and are edited alike.  A frequent line of fewer than ``min_words`` words links nothing, but is deleted in a
+    run of lines that an earlier document holds.  A document that loses all its lines stays, with an empty text; a null text stays null.  ``n_chars``, where there is one, follows.
     """
     scratch = Scratch(spark, "lines")
     gone = deletions(spark, docs, scratch, id_col, text_col, rare, min_words)

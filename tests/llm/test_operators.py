@@ -249,3 +249,24 @@ def test_near_hot_buckets(spark):
     for i, j in sorted(pairs):
         root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
     assert [by[i] for i in range(len(texts))] == root
+
+
+def test_lines_short(spark):
+    """A passage of short and blank lines goes from every later document, however many hold it."""
+    lines = "".join(f"\n{x} of passage" if i % 4 else "\n" for i, x in enumerate("abcdefghijkl"))
+    for n in (9, 60):
+        docs = spark.createDataFrame([(i, f"own words of document number {i}{lines}") for i in range(n)] + [(n + i, f"\none two{lines}\n\nend") for i in range(n)], "doc_id long, text string")
+        by = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, docs).collect()}
+        assert by[0] == f"own words of document number 0{lines}" and by[n] == "\none two\n\nend"
+        assert all(by[i] == f"own words of document number {i}" for i in range(1, n)) and all(by[n + i] == "" for i in range(1, n))
+
+
+def test_runs():
+    rng = random.Random(5)
+    for _ in range(300):
+        words = [rng.choice((0, 0, 1, 2, 3, 6)) for _ in range(rng.randint(0, 14))]
+        digests = [hashlib.md5(b"%d" % rng.randint(0, 3)).digest() for _ in words]
+        found = list(zip(*line_dedup.runs(digests, words, 5), strict=True))
+        covered = {k for _, i, j in found for k in range(i, j)} | {i for i, w in enumerate(words) if w >= 5}
+        assert all(sum(words[i:j]) >= 5 for _, i, j in found) and covered == (set(range(len(words))) if sum(words) >= 5 else set())
+        assert all((x == y) == (digests[i:j] == digests[k:m]) for x, i, j in found for y, k, m in found)
