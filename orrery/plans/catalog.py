@@ -215,6 +215,26 @@ for _name, _f in (("distance_min", F.min), ("distance_max", F.max)):
         return _value(_pair_table(s).groupBy("frame").agg(f("d").alias("value")))
 
 
+# the same over all atoms of two elements
+_WHOLE_PAIRS = f"""pr AS (SELECT a.frame, a.atom_idx AS i, b.atom_idx AS j, sqrt({_d2('a', 'b')}) AS d FROM traj a JOIN traj b ON a.frame = b.frame
+  WHERE a.atom_idx IN (SELECT atom_idx FROM atoms WHERE element = 'C') AND b.atom_idx IN (SELECT atom_idx FROM atoms WHERE element = 'O')) """
+
+
+def _whole_pair_table(s: System) -> DataFrame:
+    return p.distance_pairs(*(s.trajectory.join(sel.atoms(s, F.col("element") == e), "atom_idx") for e in "CO"), s.cell)
+
+
+@_on_system("distance_pair_whole", _WHOLE_PAIRS + f"SELECT frame::INTEGER AS frame, i, j, round(d, {_R}) AS d FROM pr")
+def _whole_pair(s: System) -> DataFrame:
+    return _whole_pair_table(s).select(F.col("frame").cast("int"), "i", "j", F.round("d", _R).alias("d"))
+
+
+for _name, _f in (("distance_min_whole", F.min), ("distance_max_whole", F.max)):
+    @_on_system(_name, _WHOLE_PAIRS + f"SELECT frame::INTEGER AS frame, round({_name[9:12]}(d), {_R}) AS value FROM pr GROUP BY frame")
+    def _whole_extreme(s: System, f: Callable = _f) -> DataFrame:
+        return _value(_whole_pair_table(s).groupBy("frame").agg(f("d").alias("value")))
+
+
 def _frame_points(s: System) -> list[DataFrame]:
     return [_points(s, n) for n in ("SOL", "LYS", "PFT", "ALA")]
 
@@ -282,6 +302,11 @@ def _coord(s: System) -> DataFrame:
     return s.trajectory.filter("atom_idx <= 25").select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
 
 
+@_on_system("coord_xyz_whole", f"SELECT frame::INTEGER AS frame, atom_idx, round(x, {_R}) AS x, round(y, {_R}) AS y, round(z, {_R}) AS z FROM traj")
+def _whole_coord(s: System) -> DataFrame:
+    return s.trajectory.select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
 @_on_system("pbc_wrap", "SELECT frame::INTEGER AS frame, atom_idx, " + ", ".join(f"round({c} - {_L} * floor({c} / {_L}), {_R}) AS {c}" for c in "xyz") + " FROM traj")
 def _wrap(s: System) -> DataFrame:
     return s.trajectory.select(F.col("frame").cast("int"), "atom_idx", *[F.round(g.wrap(F.col(c), n), _R).alias(c) for c, n in zip("xyz", s.cell, strict=True)])

@@ -33,3 +33,10 @@ def test_same_as_sql(spark, db, name):
     assert len(got) == len(want) and got
     for a, b in zip(_norm(got), _norm(want), strict=True):
         assert all(x == y or isinstance(x, float) and abs(x - y) < 2e-4 for x, y in zip(a, b, strict=True)), (a, b)
+
+
+def test_whole_tables(spark, db):
+    """These queries cover every atom, or every pair of two elements, in each frame."""
+    atoms, c, o = db.sql("SELECT count(*), count(*) FILTER (vec_id % 5 = 2), count(*) FILTER (vec_id % 5 = 4) FROM embeddings").fetchone()
+    assert catalog.QUERIES["coord_xyz_whole"](spark, str(DATA)).count() == 21 * atoms
+    assert catalog.QUERIES["distance_pair_whole"](spark, str(DATA)).count() == 21 * c * o
