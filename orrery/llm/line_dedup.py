@@ -1,7 +1,7 @@
 """Line dedup by pairwise alignment.
 
-Documents are linked by rare lines: each line that few documents hold links every later document to the first that holds
-it.  Each linked pair is aligned by patience diff, and common blocks of enough words are deleted from the later document.
+Documents are linked by rare lines and runs of lines: each that few documents hold links every later document to the first
+that holds it.  Each linked pair is aligned by patience diff, and common blocks of enough words are deleted from the later document.
 Of a frequent line, which would link too many documents to be told apart by it, all but the first document's copies are
 deleted directly, without an alignment; so no pair of documents is ever formed through it.  The same goes for frequent runs:
 from each line on, and up to each line, the fewest adjacent lines that together have enough words.  Every common block of
@@ -185,7 +185,9 @@ def deletions(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: st
     held_runs = series.filter("once").groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first")).filter("df > 1")
     held_runs = scratch.save(held_runs, "held-runs")
     few = held.filter(F.col("df") <= rare).select("h", F.col("first.dig").alias("first"))
-    pairs = lines.join(few, "h").filter("dig <> first").select("doc_id", "dig", "first").distinct()
+    few_runs = held_runs.filter(F.col("df") <= rare).select("run", F.col("first.dig").alias("first"))
+    linked = lines.join(few, "h").select("doc_id", "dig", "first").unionByName(series.filter("once").join(few_runs, "run").select("doc_id", "dig", "first"))
+    pairs = linked.filter("dig <> first").distinct()
     of = rows.select(F.col("dig").alias("first"), F.col("h").alias("first_h"))
     both = pairs.join(of, "first").join(rows.select("dig", "h", "n"), "dig").select("doc_id", "dig", "first_h", "h", "n")
     aligned = both.mapInArrow(_align(min_words), "doc_id long, dig binary, places array<int>")

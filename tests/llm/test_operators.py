@@ -270,3 +270,11 @@ def test_runs():
         covered = {k for _, i, j in found for k in range(i, j)} | {i for i, w in enumerate(words) if w >= 5}
         assert all(sum(words[i:j]) >= 5 for _, i, j in found) and covered == (set(range(len(words))) if sum(words) >= 5 else set())
         assert all((x == y) == (digests[i:j] == digests[k:m]) for x, i, j in found for y, k, m in found)
+
+
+def test_lines_linked_by_run(spark):
+    """A block is found in the first document that holds it, though each of its lines is in an earlier one."""
+    texts = ["one short line\nown words of the first", "own words of the second\ntwo short lines", "one short line\ntwo short lines\nown words of the third", "own words of the fourth\none short line\ntwo short lines"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark, docs).collect()}
+    assert [by[i] for i in range(4)] == [*texts[:3], "own words of the fourth"]
