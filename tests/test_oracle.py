@@ -37,6 +37,6 @@ def test_same_as_sql(spark, db, name):
 
 def test_whole_tables(spark, db):
     """These queries cover every atom, or every pair of two elements, in each frame."""
-    atoms, c, o = db.sql("SELECT count(*), count(*) FILTER (vec_id % 5 = 2), count(*) FILTER (vec_id % 5 = 4) FROM embeddings").fetchone()
+    atoms, c, o = db.sql("SELECT count(*), count(*) FILTER (vec_id % 5 = 2), count(*) FILTER (vec_id % 5 = 4) FROM embeddings").fetchall()[0]
     assert catalog.QUERIES["coord_xyz_whole"](spark, str(DATA)).count() == 21 * atoms
     assert catalog.QUERIES["distance_pair_whole"](spark, str(DATA)).count() == 21 * c * o
