@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table, whole_text
-from .tokens import chunked
+from .tokens import batches_of, chunked
 
 CAPACITY, END = 4096, 2
 #: Windows that a group of remainders fills on average: the work and memory of one differencing.
@@ -70,8 +70,9 @@ def _pieces(path: str, capacity: int, end: int, keep: bool) -> Callable:
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             ids = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = b"".join([*of.ids([text.as_py()])[0], last])
+            found = (x for texts in batches_of(batch.column(1)) for x in of.ids(texts))
+            for doc, x in zip(batch.column(0).to_pylist(), found, strict=True):
+                data = b"".join([*x, last])
                 for at in range(0, len(data), capacity * 4):
                     part = data[at:at + capacity * 4]
                     for column, x in zip(rows, (doc, at // 4, len(part) // 4, crc32(part), len(data) // 4), strict=True):
