@@ -31,10 +31,29 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 SPACE = "\t-\r \x85\xa0  -     　"
 #: No word of SPLIT goes on from another character to white space, so a text may be cut there.
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
-#: Chunks whose ids a Python worker keeps; it starts anew when they are full, about 150 MB.
+#: Letters, and other characters but white space and digits, that every version of Unicode classes alike and that normal forms leave as they are.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
+_OTHERS = "!-/:-@[-`{-~\x00-\x08\x0e-\x1f\x7f¡-©«-±´¶-¸»¿×÷‐-‧"
+PLAIN = re.compile(f"[{LETTERS}{_OTHERS}0-9\t-\r ]*").fullmatch
+#: The words of SPLIT in plain text.  Each is a word by itself too, so that its ids do not depend on what surrounds it.
+WORDS = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[{_OTHERS}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Words and chunks whose ids a Python worker keeps; it starts anew when they are full, about 150 MB.
 CACHE = 600_000
 
 
+def pieces(text: str) -> list[str]:
+    """A text cut at places that no token spans: words where it is plain, else chunks."""
+    if PLAIN(text):
+        return WORDS.findall(text)
+    out: list[str] = []
+    for chunk in CHUNK.findall(text):
+        if PLAIN(chunk):
+            out += WORDS.findall(chunk)
+        else:
+            out.append(chunk)
+    return out
+
+
 def _byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in vocabulary files of this kind."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -185,7 +204,7 @@ def codec(path: str) -> Codec:
 
 
 class Chunks:
-    """A text's ids by chunks, whose ids are kept."""
+    """A text's ids by words and chunks, whose ids are kept."""
 
     def __init__(self, codec: Codec, size: int = CACHE):
         self.codec, self.size, self.kept = codec, size, {}
@@ -201,7 +220,7 @@ class Chunks:
     def __call__(self, text: str) -> np.ndarray:
         out, get, new = [], self.kept.get, self._new
         for part, special in self.codec.segments(text):
-            out += [get(c) or new(c) for c in CHUNK.findall(part)]
+            out += [get(c) or new(c) for c in pieces(part)]
             if special is not None:
                 out.append(array("i", [special]).tobytes())
         return np.frombuffer(b"".join(out), dtype=np.int32)
