@@ -1,11 +1,13 @@
 """Line dedup by pairwise alignment.
 
-Documents are linked by rare lines and runs of lines: each that few documents hold links every later document to the first
-that holds it.  Each linked pair is aligned by patience diff, and common blocks of enough words are deleted from the later document.
-Of a frequent line, which would link too many documents to be told apart by it, all but the first document's copies are
-deleted directly, without an alignment; so no pair of documents is ever formed through it.  The same goes for frequent runs:
-from each line on, and up to each line, the fewest adjacent lines that together have enough words.  Every common block of
-enough words consists of such runs, so that blocks of short or blank lines go however many documents hold them.
+Documents are linked by the hashes of lines and of short runs of lines: each links every later document to the first that
+holds it, so links grow with the lines of the input and not with the square of a line's holders, and no line has to be left
+out for being frequent.  Each linked pair is aligned by patience diff, and common blocks of enough words, unbroken in both,
+are deleted from the later document; blocks that stand in another order are found by their runs.
+
+A run is the fewest adjacent lines that have enough words, from each line on and up to each line.  Every common block of
+enough words consists of such runs, so a line goes if and only if it lies in a block that some earlier document holds, even
+if each line of the block has its first use elsewhere.
 
 What crosses the network for linking and aligning are digests of lines.  Documents are ordered by id, then by digest.
 """
@@ -23,8 +25,6 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch, table
 
-#: A line in more documents than this is frequent.
-RARE = 50
 #: Words that a block of deleted lines has at least.
 MIN_WORDS = 5
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
@@ -83,43 +83,47 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def common_blocks(a: list, b: list, words: list[int], min_words: int) -> list[int]:
-    """Places in ``b`` of aligned blocks, unbroken in both, that have enough words.
-
-    What one alignment has matched is set aside and the rest aligned again, so that blocks in another order are found too.
-    """
-    out, ia, ib = [], list(range(len(a))), list(range(len(b)))
-    while found := patience([a[i] for i in ia], [b[j] for j in ib]):
-        block, last = [], None
-        for i, j in [*((ia[i], ib[j]) for i, j in found), (-2, -2)]:
-            if last is None or (i, j) != (last[0] + 1, last[1] + 1):
-                if sum(words[x] for x in block) >= min_words:
-                    out += block
-                block = []
-            block.append(j)
-            last = (i, j)
-        gone_a, gone_b = {i for i, _ in found}, {j for _, j in found}
-        ia, ib = [x for k, x in enumerate(ia) if k not in gone_a], [x for k, x in enumerate(ib) if k not in gone_b]
-        both = {a[i] for i in ia} & {b[j] for j in ib}
-        ia, ib = [i for i in ia if a[i] in both], [j for j in ib if b[j] in both]
-    return out
+def common_blocks(a: list[int], b: list[int], words_a: list[int], words_b: list[int], min_words: int) -> list[int]:
+    """Places in ``b`` of blocks, unbroken in both, that have enough words: those that one alignment finds, then moved ones."""
+    out: set[int] = set()
+    block: list[int] = []
+    last = (-2, -2)
+    for i, j in [*patience(a, b), (-4, -4)]:
+        if (i, j) != (last[0] + 1, last[1] + 1):
+            if sum(words_b[x] for x in block) >= min_words:
+                out.update(block)
+            block = []
+        block.append(j)
+        last = (i, j)
+    in_a = set(a)
+    left = [j for j, x in enumerate(b) if j not in out and x in in_a]
+    out.update(j for j in left if words_b[j] >= min_words)
+    if any(j not in out for j in left):
+        there = set(runs(np.array(a, dtype=np.int64).view(np.uint64)[:, None], words_a, min_words)[0])
+        for x, i, j in zip(*runs(np.array(b, dtype=np.int64).view(np.uint64)[:, None], words_b, min_words), strict=True):
+            if x in there:
+                out.update(range(int(i), int(j)))
+    return sorted(out)
 
 
 def _align(min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], []]
-            for doc, dig, first, later, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if places := common_blocks(first, later, words, min_words):
-                    for column, x in zip(rows, (doc, dig, places), strict=True):
+            rows: list[list] = [[], []]
+            for dig, *pair in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if places := common_blocks(*pair, min_words):
+                    for column, x in zip(rows, (dig, places), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.binary(), pa.list_(pa.int32())), strict=True)], names=["doc_id", "dig", "places"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.binary(), pa.list_(pa.int32())), strict=True)], names=["dig", "places"])
 
     return run
 
 
-def runs(digests: list[bytes], words: list[int], min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Hash, start and stop of the shortest runs of two or more lines with enough words, from each line on and up to each line."""
+def runs(digests: np.ndarray, words: list[int], min_words: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Hash, start and stop of the shortest runs of two or more lines with enough words, from each line on and up to each line.
+
+    ``digests`` has a row for each line, of one or two 64-bit parts; the hashes have as many.
+    """
     size = len(words)
     total = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
     stop = np.searchsorted(total, total[:-1] + min_words, "left")
@@ -130,11 +134,11 @@ def runs(digests: list[bytes], words: list[int], min_words: int) -> tuple[list[b
     start, stop = found[:, 0], found[:, 1]
     if not len(found):
         return [], start, stop
-    halves, hashed = np.frombuffer(b"".join(digests), dtype="<u8").reshape(size, 2), []
+    hashed = []
     with np.errstate(over="ignore"):
-        for k, base in enumerate(_BASES):  # sums of digests times powers of a base; a run's is moved to power 0 by the inverse
+        for part, base in zip(digests.T, _BASES, strict=False):  # sums of digests times powers of a base; a run's is moved to power 0 by the inverse
             power, back = (np.cumprod(np.array([1] + [b] * size, dtype=np.uint64), dtype=np.uint64) for b in (base, pow(base, -1, 2**64)))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(halves[:, k] * power[:-1], dtype=np.uint64)])
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(part * power[:-1], dtype=np.uint64)])
             hashed.append((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
     return [x.tobytes() for x in np.stack(hashed, 1)], start, stop
 
@@ -142,62 +146,40 @@ def runs(digests: list[bytes], words: list[int], min_words: int) -> tuple[list[b
 def _runs(min_words: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[], [], [], [], [], []]
+            docs, digs, found = [], [], []
             for doc, dig, digests, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                seen: set[bytes] = set()
-                for x, i, j in zip(*runs(digests, words, min_words), strict=True):
-                    for column, y in zip(rows, (doc, dig, x, int(i), int(j), x not in seen), strict=True):
-                        column.append(y)
-                    seen.add(x)
-            types = (pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["doc_id", "dig", "run", "start", "stop", "once"])
+                if len(words) > 1:
+                    new = set(runs(np.frombuffer(b"".join(digests), dtype="<u8").reshape(-1, 2), words, min_words)[0])
+                    found += new
+                    docs += [doc] * len(new)
+                    digs += [dig] * len(new)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digs, pa.binary()), pa.array(found, pa.binary())], names=["doc_id", "dig", "h"])
 
     return run
 
 
-def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The places that runs cover, each once."""
-    for b in batches:
-        out = []
-        for starts, stops in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            depth = np.zeros(max(stops) + 1, dtype=np.int64)
-            np.add.at(depth, starts, 1)
-            np.add.at(depth, stops, -1)
-            out.append(np.nonzero(np.cumsum(depth))[0].astype(np.int32))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "dig", "places"])
-
-
 def _digest(id_col: str, text_col: str):
     return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit(""))).cast("binary")))
 
 
-def deletions(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, dig, places): the lines to delete, from 0, of each document that loses any."""
+def deletions(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(dig, places): the lines to delete, from 0, of each document that loses any."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _digest(id_col, text_col).alias("dig"), F.split(F.coalesce(text_col, F.lit("")), "\n", -1).alias("l"))
-    rows = rows.select("doc_id", "dig", F.transform("l", lambda x: F.unhex(F.md5(F.trim(x).cast("binary")))).alias("h"),
-                       F.transform("l", lambda x: F.when(F.trim(x) == "", 0).otherwise(F.size(F.split(F.trim(x), r"\s+", -1)))).alias("n"))
-    rows = scratch.save(rows, "lines").dropDuplicates(["dig"])
-    rows = scratch.save(rows, "documents")  # rows that repeat both id and text are one document
-    lines = rows.select("doc_id", "dig", F.explode(F.array_distinct(F.arrays_zip("h", "n"))).alias("x")).select("doc_id", "dig", "x.h", "x.n").filter("n > 0")
-    held = lines.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first"), F.max("n").alias("n")).filter("df > 1")
+    rows = rows.select("doc_id", "dig", F.transform("l", lambda x: F.trim(x)).alias("l"))
+    rows = rows.select("doc_id", "dig", F.transform("l", lambda x: F.unhex(F.md5(x.cast("binary")))).alias("h"), F.transform("l", lambda x: F.xxhash64(x)).alias("k"),
+                       F.transform("l", lambda x: F.when(x == "", 0).otherwise(F.size(F.split(x, r"\s+", -1)))).alias("n"))
+    rows = scratch.save(rows.dropDuplicates(["dig"]), "documents")  # rows that repeat both id and text are one document
+    # lines of enough words by themselves, and runs
+    lines = rows.select("doc_id", "dig", F.explode(F.array_distinct(F.filter(F.arrays_zip("h", "n"), lambda x: x["n"] >= min_words))).alias("x")).select("doc_id", "dig", "x.h")
+    series = rows.select("doc_id", "dig", "h", "n").mapInArrow(_runs(min_words), "doc_id long, dig binary, h binary")
+    keys = scratch.save(lines.unionByName(series), "keys")
+    held = keys.groupBy("h").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first")).filter("df > 1").select("h", F.col("first.dig").alias("first"))
     held = scratch.save(held, "held")
-    series = scratch.save(rows.select("doc_id", "dig", "h", "n").mapInArrow(_runs(min_words), "doc_id long, dig binary, run binary, start int, stop int, once boolean"), "runs")
-    held_runs = series.filter("once").groupBy("run").agg(F.count("*").alias("df"), F.min(F.struct("doc_id", "dig")).alias("first")).filter("df > 1")
-    held_runs = scratch.save(held_runs, "held-runs")
-    few = held.filter(F.col("df") <= rare).select("h", F.col("first.dig").alias("first"))
-    few_runs = held_runs.filter(F.col("df") <= rare).select("run", F.col("first.dig").alias("first"))
-    linked = lines.join(few, "h").select("doc_id", "dig", "first").unionByName(series.filter("once").join(few_runs, "run").select("doc_id", "dig", "first"))
-    pairs = linked.filter("dig <> first").distinct()
-    of = rows.select(F.col("dig").alias("first"), F.col("h").alias("first_h"))
-    both = pairs.join(of, "first").join(rows.select("dig", "h", "n"), "dig").select("doc_id", "dig", "first_h", "h", "n")
-    aligned = both.mapInArrow(_align(min_words), "doc_id long, dig binary, places array<int>")
-    many = held.filter((F.col("df") > rare) & (F.col("n") >= min_words)).select("h", F.col("first.dig").alias("first"))
-    at = rows.select("doc_id", "dig", F.posexplode("h").alias("place", "h"))
-    frequent = at.join(many, "h").filter("dig <> first").groupBy("doc_id", "dig").agg(F.collect_list("place").alias("places"))
-    in_many = series.join(held_runs.filter(F.col("df") > rare).select("run", F.col("first.dig").alias("first")), "run").filter("dig <> first")
-    in_many = in_many.groupBy("doc_id", "dig").agg(F.collect_list(F.struct("start", "stop")).alias("x")).select("doc_id", "dig", "x.start", "x.stop")
-    blocks = in_many.mapInArrow(_places, "doc_id long, dig binary, places array<int>")
-    found = scratch.save(aligned.unionByName(frequent).unionByName(blocks), "found")
+    pairs = scratch.save(keys.join(held, "h").filter("dig <> first").select("dig", "first").distinct(), "pairs")
+    scratch.drop("keys", "held")
+    of = rows.select(F.col("dig").alias("first"), F.col("k").alias("first_k"), F.col("n").alias("first_n"))
+    both = pairs.join(of, "first").join(rows.select("dig", "k", "n"), "dig").select("dig", "first_k", "k", "first_n", "n")
+    found = scratch.save(both.mapInArrow(_align(min_words), "dig binary, places array<int>"), "found")
     return scratch.save(found.groupBy("dig").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")), "deletions")
 
 
@@ -206,31 +188,35 @@ def _rewrite(text: int, length: int | None, schema: pa.Schema | None = None) ->
         for b in batches:
             columns = list(b.columns[:-1])
             texts = columns[text].to_pylist()
+            lengths = columns[length].to_pylist() if length is not None else []
             changed = False
             for i, places in enumerate(b.column(b.num_columns - 1)):
                 if places.is_valid:
                     gone = set(places.as_py())
                     texts[i] = "\n".join([x for k, x in enumerate(texts[i].split("\n")) if k not in gone])
+                    if lengths:
+                        lengths[i] = len(texts[i])
                     changed = True
             if changed:
                 columns[text] = pa.array(texts, columns[text].type)
                 if length is not None:
-                    columns[length] = pa.array([None if t is None else len(t) for t in texts], columns[length].type)
+                    columns[length] = pa.array(lengths, columns[length].type)
             yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
 
     return run
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare: int = RARE, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` with all their columns and without the lines that an earlier document holds.
 
     Lines are compared without the white space around them.  Blank lines link nothing and are deleted only within a
     common block.  Earlier is the smaller id (null first), then the smaller digest; rows that repeat both id and text are
-    one document and are edited alike.  A frequent line of fewer than ``min_words`` words links nothing, but is deleted in a
-    run of lines that an earlier document holds.  A document that loses all its lines stays, with an empty text; a null text stays null.  ``n_chars``, where there is one, follows.
+    one document and are edited alike.  A line goes if it lies in a run of lines that has ``min_words`` words and that an
+    earlier document holds unbroken, whatever the number of holders.  A document that loses all its lines stays, with an
+    empty text; a null text stays null.  ``n_chars``, where there is one, follows where a text changes.  An empty table gives an empty one.
     """
     scratch = Scratch(spark, "lines")
-    gone = deletions(spark, docs, scratch, id_col, text_col, rare, min_words)
+    gone = deletions(spark, docs, scratch, id_col, text_col, min_words)
     names = [f"_c{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names)
     at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
