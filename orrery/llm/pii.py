@@ -2,7 +2,10 @@
 
 1. Seeds: e-mail addresses, IPv4 addresses, payment cards and phone numbers, found by regular expressions in whole texts.
 2. Contexts: the two words before a seed form a lexical pattern; every other token that is shaped like an identifier (it
-   holds a digit or an at sign) and stands behind the same two words is an instance of the pattern.
+   holds a digit or an at sign) and stands behind the same two words is an instance of the pattern.  Words are runs of
+   letters, cut where a match of the same kind begins or ends, in lower case; they are looked for in the whole text before
+   the match, other matches included, and only white space, commas, colons, semicolons and opening brackets may stand
+   between the second word and the match.
 3. The graph of patterns and instances is scored in rounds: a pattern's confidence for a kind is the mean confidence of its
    instances, an unseen instance's confidence is 1 - product(1 - confidence) over its patterns; seeds have confidence 1.
 4. Patterns induced by enough different seeds and confident enough give their unseen instances as further spans.
@@ -15,7 +18,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .shared import Scratch, table, whole_text
@@ -34,22 +37,27 @@ PATTERNS = {
 #: A text without these has no match.
 _NEEDS = {"email": "contains(text, '@')", "ip": "contains(text, '.')", "card": "true", "phone": "contains(text, '+')"}
 _TOKEN = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+"
-_CONTEXT = r"([\p{L}]+)[^\p{L}]+([\p{L}]+)[\s,:;(]*$"
+#: On a reversed text: what follows its last word, the last word, and the one before.
+_LAST = r"^([^\p{L}]*+)(?:(\p{L}++)(?:[^\p{L}]++(\p{L}++))?)?"
 _OCTET = "0*(25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})"
-#: Code points before a match that are searched for the two words of its context.
-CONTEXT_CHARS = 48
-
-
 def _q(regex: str) -> str:
     return "r'" + regex.replace("'", "\\'") + "'"
 
 
+def _last(text: str, group: int) -> str:
+    return f"nullif(lower(reverse(regexp_extract(reverse({text}), {_q(_LAST)}, {group}))), '')"
+
+
+def _near(text: str) -> str:
+    """Whether only white space and the like follow the last word."""
+    return f"regexp_extract(reverse({text}), {_q(_LAST)}, 1) RLIKE {_q('^[ ' + chr(92) + 't-' + chr(92) + 'r,:;(]*$')}"
+
+
 def _found(kind: str, regex: str, need: str) -> Column:
-    """The matches, each with the code points between it and the match before, and its context."""
+    """The matches, each with the code points between it and the match before, and the last two words there."""
     gaps = f"split(text, {_q(regex)}, -1)"
-    return F.expr(f"""CASE WHEN {need} THEN zip_with(regexp_extract_all(text, {_q(regex)}, 0), {gaps}, (m, g) -> named_struct(
-        'match', m, 'gap', char_length(g), 'context', lower(concat_ws(' ', nullif(regexp_extract(right(g, {CONTEXT_CHARS}), {_q(_CONTEXT)}, 1), ''),
-        nullif(regexp_extract(right(g, {CONTEXT_CHARS}), {_q(_CONTEXT)}, 2), ''))))) END""").alias(kind)
+    return F.expr(f"""CASE WHEN {need} THEN zip_with(regexp_extract_all(text, {_q(regex)}, 0), {gaps}, (m, g) -> IF(m IS NULL, NULL, named_struct(
+        'match', m, 'gap', char_length(g), 'first', {_last('g', 3)}, 'second', {_last('g', 2)}, 'near', {_near('g')}))) END""").alias(kind)
 
 
 def _valid() -> Column:
@@ -62,19 +70,36 @@ def _valid() -> Column:
 
 
 def scan(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, doc_id, matches): one row for each row, matches as an array of (kind, match, gap, context, pos)."""
+    """(uid, doc_id, matches): one row for each row, matches as an array of (kind, match, gap, first, second, near, pos)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
     rows = rows.select("doc_id", *[_found(k, PATTERNS[k], _NEEDS[k]) for k in KINDS], _found("token", _TOKEN, "true"))
-    both = F.concat(*[F.expr(f"""transform(filter(coalesce({k}, array()), x -> x.match IS NOT NULL), (x, i) -> named_struct(
-        'kind', '{k}', 'match', x.match, 'gap', x.gap, 'context', x.context, 'pos', i))""") for k in (*KINDS, "token")])
+    both = F.concat(*[F.expr(f"""transform(filter(coalesce({k}, array()), x -> x IS NOT NULL), (x, i) -> named_struct(
+        'kind', '{k}', 'match', x.match, 'gap', x.gap, 'first', x.first, 'second', x.second, 'near', x.near, 'pos', i))""") for k in (*KINDS, "token")])
     return scratch.save(rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", both.alias("matches")), "matches")
 
 
+def _contexts(rows: DataFrame, w: WindowSpec) -> DataFrame:
+    """With ``context``: where the gap before a match has fewer than two words, those of earlier gaps and matches count."""
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    own_first, own_second = F.expr(_last("match", 3)), F.expr(_last("match", 2))
+    rows = rows.withColumns({"own_first": own_first, "own_second": own_second}).withColumn("last", F.coalesce("own_second", "second"))
+    rows = rows.withColumn("before", F.last("last", ignorenulls=True).over(before))
+    # the last but one after this match: of the match, of its gap, or of what was before
+    rows = rows.withColumn("last_but_one", F.when(F.col("own_second").isNotNull(), F.coalesce("own_first", "second", "before")).otherwise(F.coalesce("first", "before")))
+    rows = rows.withColumn("before_that", F.last(F.when(F.col("last").isNotNull(), F.struct("last_but_one")), ignorenulls=True).over(before)["last_but_one"])
+    touches = F.coalesce(F.lag(F.col("match").rlike(r"\p{L}$")).over(w), F.lit(False))
+    one = F.when(F.col("second").isNotNull(), F.coalesce("first", "before")).when(touches, F.col("before_that"))
+    two = F.when(F.col("second").isNotNull(), F.col("second")).when(touches, F.col("before"))
+    context = F.when(F.col("near") & one.isNotNull() & two.isNotNull(), F.concat_ws(" ", one, two)).otherwise("")
+    return rows.withColumn("context", context).drop("own_first", "own_second", "first", "second", "near", "last", "before", "last_but_one", "before_that")
+
+
 def spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(uid, kind, start, end, context, surface): valid base spans, and as kind ``token`` the shaped tokens that touch none."""
     rows = found.select("uid", F.explode("matches").alias("m")).select("uid", "m.*")
     w = Window.partitionBy("uid", "kind").orderBy("pos")
     rows = rows.withColumn("end", F.sum(F.col("gap") + F.char_length("match")).over(w)).withColumn("start", F.col("end") - F.char_length("match"))
+    rows = _contexts(rows, w)
     rows = rows.filter(_valid())
     # a token without the punctuation around it
     left = F.ltrim(F.col("match"), F.lit("([{<\"'"))
@@ -149,22 +174,26 @@ def redact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_co
     """The rows of ``docs`` with every span replaced by its kind in brackets, [EMAIL] and so on; all columns stay.
 
     Spans that overlap are replaced as one, by the kind of the first.  Texts without a span, null ones too, stay as they
-    are; ``n_chars``, where there is one, follows the new text.
+    are; ``n_chars``, where there is one, follows a text that changes.
     """
     scratch = Scratch(spark, "redact")
-    kept = scratch.save(docs.select(F.struct(*docs.columns).alias("row")), "rows")
-    kept = scratch.save(kept.select("row", F.monotonically_increasing_id().alias("at")), "numbered")
-    rows, all_spans = find(spark, kept.select(F.col("at").alias("doc_id"), F.col("row")[text_col].alias("text")), scratch=scratch, **method)
-    w = Window.partitionBy("at").orderBy("start", F.desc("end"), _rank())
-    s = all_spans.join(rows.select("uid", F.col("doc_id").alias("at")), "uid").withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    names = [f"_c{i}" for i in range(len(docs.columns))]
+    at = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    text = at[text_col]
+    marked = docs.toDF(*names).withColumn("_key", F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
+    # spans depend on the text alone, so equal texts need one set of them
+    rows, all_spans = find(spark, marked.select(F.col("_key").alias("doc_id"), F.col(text).alias("text")), scratch=scratch, **method)
+    s = all_spans.join(rows.select("uid", F.col("doc_id").alias("_key")), "uid").select("_key", "kind", "start", "end").distinct()
+    w = Window.partitionBy("_key").orderBy("start", F.desc("end"), _rank())
+    s = s.withColumn("before", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     s = s.withColumn("block", F.sum(F.when(F.col("start") < F.col("before"), 0).otherwise(1)).over(w))
-    merged = s.groupBy("at", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), _rank())).alias("kind"))
-    per = merged.groupBy("at").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.upper("kind").alias("kind")))).alias("s"))
-    text = f"row.`{text_col}`"
-    new = F.expr(f"""IF(s IS NULL, {text}, concat(array_join(transform(s, (x, i) -> concat(substring({text}, CAST(IF(i = 0, 0, s[i - 1].end) AS INT) + 1,
-        CAST(x.start - IF(i = 0, 0, s[i - 1].end) AS INT)), '[', x.kind, ']')), ''), substring({text}, CAST(s[size(s) - 1].end AS INT) + 1)))""")
-    out = kept.join(per, "at", "left").select("row", new.alias("new"))
-    return out.select(*[F.col("new").alias(c) if c == text_col else F.char_length("new").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])
+    merged = s.groupBy("_key", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", -F.col("end"), _rank())).alias("kind"))
+    per = scratch.save(merged.groupBy("_key").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.upper("kind").alias("kind")))).alias("_s")), "per")
+    scratch.drop("matches", "spans")
+    new = F.expr(f"""IF(_s IS NULL, {text}, concat(array_join(transform(_s, (x, i) -> concat(substring({text}, CAST(IF(i = 0, 0, _s[i - 1].end) AS INT) + 1,
+        CAST(x.start - IF(i = 0, 0, _s[i - 1].end) AS INT)), '[', x.kind, ']')), ''), substring({text}, CAST(_s[size(_s) - 1].end AS INT) + 1)))""")
+    out = marked.join(per, "_key", "left").withColumn("_new", new)
+    return out.select(*[F.col("_new").alias(c) if c == text_col else F.when(F.col("_s").isNull(), F.col(at[c])).otherwise(F.char_length("_new").cast("long")).alias(c) if c == "n_chars" else F.col(at[c]).alias(c) for c in docs.columns])
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
