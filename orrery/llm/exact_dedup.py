@@ -75,7 +75,7 @@ def identities(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: s
 
 def dedup_exact(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, level, name.
+    """One row for each row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when no byte of them differs; a null text counts as an empty one, and all empty texts are one
     group.  The row with the largest doc_id stays (a null doc_id is the smallest); of rows that repeat both doc_id and
