@@ -44,3 +44,18 @@ def transpose(a: Column, columns: int) -> Column:
         return F.transform(a, lambda row: row[k])
 
     return F.array(*map(column, range(columns)))
+
+
+def normalize(a: Column) -> Column:
+    n = length(a)
+    return F.transform(a, lambda x: F.when(n != 0, x / n).otherwise(F.lit(0.0)))
+
+
+def matvec(m: Column, v: Column) -> Column:
+    """Rows of ``m`` times ``v``."""
+    return F.transform(m, lambda row: dot(row, v))
+
+
+def matmul(a: Column, b: Column) -> Column:
+    turned = F.transform(F.sequence(F.lit(1), F.size(F.element_at(b, 1))), lambda j: F.transform(b, lambda row: F.element_at(row, j)))
+    return F.transform(a, lambda row: F.transform(turned, lambda column: dot(row, column)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -38,6 +39,11 @@ def com_periodic(points: DataFrame, cell: Sequence[float], by: Sequence[str] = (
     return points.groupBy(*by).agg(*out)
 
 
+def prefixed(df: DataFrame, prefix: str, keys: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+    """Coordinates, and more columns, under names with a prefix."""
+    return df.select(*keys, *[F.col(c).alias(f"{prefix}{c}") for c in (*more, *"xyz")])
+
+
 def _side(df: DataFrame, prefix: str) -> DataFrame:
     return df.select("frame", *[F.col(c).alias(f"{prefix}{c}") for c in "xyz"])
 
@@ -75,6 +81,38 @@ def rdf(a: DataFrame, b: DataFrame, cell: Sequence[float], high: float, low: flo
     return spatial.range_join(a, b, high, cell).filter(d >= start).groupBy("frame", at.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def rdf_weighted(a: DataFrame, b: DataFrame, cell: Sequence[float], high: float, low: float = 0.0, bins: int = BINS) -> DataFrame:
+    """(frame, bin, n, weight): counts, and what a bin of its volume would hold if the pairs found were spread evenly."""
+    counts = rdf(a, b, cell, high, low, bins)
+    step = (high - low) / bins
+    total = counts.groupBy("frame").agg(F.sum("n").alias("_pairs"))
+    ball = lambda r: r * r * r * (4 * 3.141592653589793 / 3)
+    outer = ball(F.lit(low) + (F.col("bin") + 0.5) * step)
+    inner = F.when(F.col("bin") > 0, ball(F.lit(low) + (F.col("bin") - 0.5) * step)).otherwise(F.lit(0.0))
+    return counts.join(total, "frame").select("frame", "bin", "n", (F.col("_pairs") / (ball(F.lit(float(high))) - ball(F.lit(float(low)))) * (outer - inner)).alias("weight"))
+
+
+def count_level(s: System, found: DataFrame, level: str = "atom") -> DataFrame:
+    """(ctx, value): the atoms, residues, chains or structures that a selection (ctx, atom_idx) touches."""
+    if level == "structure":
+        found, key = found.join(structures(s), "atom_idx"), "structure"
+    elif level in ("residue", "component", "chain", "instance"):
+        found = found.join(s.atoms.select("atom_idx", "comp_idx"), "atom_idx").join(s.components.select("comp_idx", "inst_idx"), "comp_idx")
+        key = "comp_idx" if level in ("residue", "component") else "inst_idx"
+    elif level == "atom":
+        key = "atom_idx"
+    else:
+        raise ValueError(f"no such level: {level}")
+    return found.groupBy("ctx").agg(F.count_distinct(key).alias("value"))
+
+
+def as_of(frames: DataFrame, rows: DataFrame, tolerance: float) -> DataFrame:
+    """(frame, value) of the rows (t, value) whose time equals a frame's (frame, time) within the tolerance: an equi-join on buckets and their neighbours."""
+    width = 2 * tolerance
+    f = frames.withColumn("_b", F.explode(F.array(*[F.floor(F.col("time") / width) + i for i in (-1, 0, 1)])))
+    return f.join(rows.withColumn("_b", F.floor(F.col("t") / width)), "_b").filter(F.abs(F.col("t") - F.col("time")) <= tolerance).drop("_b")
+
+
 def density(points: DataFrame, axis: str, cell: Sequence[float], bins: int = BINS) -> DataFrame:
     """(frame, bin, value): mass density in slices along an axis, in kg/m3."""
     n = cell["xyz".index(axis)]
@@ -99,14 +137,25 @@ def shape_weights(points: DataFrame, by: Sequence[str] = ("frame",)) -> DataFram
     return c.select(*by, ((F.col("l1") - F.col("l2")) / total).alias("linear"), (2 * (F.col("l2") - F.col("l3")) / total).alias("planar"), (3 * F.col("l3") / total).alias("isotropic"))
 
 
-def bounds(points: DataFrame, by: Sequence[str] = ("frame",)) -> DataFrame:
-    return points.groupBy(*by).agg(*[f(c).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"])
+def bounds(points: DataFrame, by: Sequence[str] = ("frame",), radius: str | None = None) -> DataFrame:
+    """The least box about the points, or about spheres of the radius column."""
+    r = F.col(radius) if radius else F.lit(0.0)
+    return points.groupBy(*by).agg(*[f(F.col(c) + r if n == "max" else F.col(c) - r).alias(f"{n}_{c}") for n, f in (("min", F.min), ("max", F.max)) for c in "xyz"])
+
 
+def contacts(s: System, a: DataFrame, b: DataFrame, cutoff: float, hops: int = 4) -> DataFrame:
+    """(frame, group_id, n): pairs of atoms of a group's with atoms of ``b``, not further apart than the cutoff.
 
-def contacts(s: System, a: DataFrame, b: DataFrame, cutoff: float) -> DataFrame:
-    """(frame, group_id, n): pairs of atoms of a group's with atoms of ``b``, not further apart than the cutoff."""
-    pairs = spatial.range_join(a, b, cutoff, s.cell)
-    return pairs.join(a.select(F.col("atom_idx").alias("i"), "group_id").distinct(), "i").groupBy("frame", "group_id").agg(F.count("*").alias("n"))
+    Atoms of ``b`` that the group shares, and those that are up to ``hops`` bonds from the shared ones, do not count.
+    """
+    groups = a.select("group_id", F.col("atom_idx").alias("i")).distinct()
+    shared = groups.join(b.select(F.col("atom_idx").alias("i")).distinct(), "i", "left_semi")
+    edges = s.bonds.select("i", "j").union(s.bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).distinct()
+    for _ in range(hops):
+        shared = shared.union(shared.join(edges, "i").select(F.col("j").alias("i"), "group_id").select("i", "group_id")).distinct()
+    pairs = spatial.range_join(a.select("frame", "atom_idx", "x", "y", "z").distinct(), b, cutoff, s.cell).join(groups, "i")
+    pairs = pairs.join(shared.select("group_id", F.col("i").alias("j")), ["group_id", "j"], "left_anti")
+    return pairs.groupBy("frame", "group_id").agg(F.count("*").alias("n"))
 
 
 def interpolate(s: System, t: float) -> DataFrame:
@@ -144,7 +193,10 @@ def structures(s: System) -> DataFrame:
     """
     spark = s.atoms.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-"))
     edges = s.bonds.select("i", "j").union(s.bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct().checkpoint()
     label = s.atoms.select("atom_idx", F.col("atom_idx").alias("structure"))
     while True:
@@ -161,13 +213,38 @@ def frame_stats(values: DataFrame, value: str = "value") -> DataFrame:
     return values.groupBy("frame").agg(F.avg(value).alias("mean"), F.var_pop(value).alias("var"), F.min(value).alias("min"), F.max(value).alias("max"))
 
 
-def covalent_bonds(s: System, frame: int = 0, low: float = 0.65, high: float = 1.15) -> DataFrame:
-    """(i, j): pairs of atoms whose distance lies between multiples of the sum of their radii."""
+# fixed values: atomic numbers of metals' usual partners in coordination
+DONORS = (7, 8, 9, 15, 16, 17, 34, 35, 53)
+
+
+def _metal(z: Column) -> Column:
+    return z.isin(3, 4, 11, 12, 13) | z.between(19, 31) | z.between(37, 50) | z.between(55, 83) | (z >= 87)
+
+
+def _transition(z: Column) -> Column:
+    return z.between(21, 30) | z.between(39, 48) | z.between(72, 80) | z.between(104, 112)
+
+
+def covalent_bonds(s: System, frame: int = 0) -> DataFrame:
+    """(i, j): bonded pairs by their distance in multiples of the sum of their radii.
+
+    From 0.65; up to 1.15 between atoms that are no metals, a twentieth more within a component; up to 1.30 between a metal
+    and a donor element, neither in water; up to 0.90 between transition metals.  The search goes as far as the largest
+    radii present may bond.
+    """
     p = s.trajectory.filter(F.col("frame") == frame)
-    r = s.atoms.select("atom_idx", "radius")
-    pairs = spatial.range_join(p, p, high * 3.4, s.cell).filter("i < j").join(r.toDF("i", "ri"), "i").join(r.toDF("j", "rj"), "j")
+    reach = 1.30 * 2 * (s.atoms.agg(F.max("radius")).first()[0] or 0.0)
+    if not reach:
+        return s.bonds.select("i", "j").limit(0)
+    water = s.components.select("comp_idx", (F.col("flags").bitwiseAND(0x20000) != 0).alias("water"))
+    r = s.atoms.select("atom_idx", "radius", "z", "comp_idx").join(water, "comp_idx")
+    pairs = spatial.range_join(p, p, reach, s.cell, ordered=True).join(r.toDF("ca", "i", "ri", "za", "wa"), "i").join(r.toDF("cb", "j", "rj", "zb", "wb"), "j")
     total, d = F.col("ri") + F.col("rj"), F.sqrt("d2")
-    return pairs.filter((d > total * low) & (d < total * high)).select("i", "j")
+    a, b = _metal(F.col("za")), _metal(F.col("zb"))
+    plain = total * 1.15 * F.when(F.col("ca") == F.col("cb"), 1.05).otherwise(1.0)
+    donor = F.when(a, F.col("zb").isin(*DONORS)).otherwise(F.col("za").isin(*DONORS)) & ~F.col("wa") & ~F.col("wb")
+    high = F.when(~a & ~b, plain).when(a != b, F.when(donor, total * 1.30)).when(_transition(F.col("za")) & _transition(F.col("zb")), total * 0.90)
+    return pairs.filter((d > total * 0.65) & (d < high)).select("i", "j")
 
 
 def morton(points: DataFrame) -> DataFrame:

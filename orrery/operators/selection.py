@@ -25,7 +25,7 @@ def matches(column: str, queries: tuple[str, ...]) -> Column:
 
 
 def in_range(column: str, first: int | None, last: int | None, step: int = 1) -> Column:
-    """Inclusive, strided from the first value."""
+    """Inclusive, strided from the first value, or from 1 where the start is open."""
     if step < 1 or first is not None and last is not None and last < first:
         raise ValueError("a range ascends, by a positive step")
     c, out = F.col(column), F.lit(True)
@@ -33,7 +33,7 @@ def in_range(column: str, first: int | None, last: int | None, step: int = 1) ->
         out = out & (c >= first)
     if last is not None:
         out = out & (c <= last)
-    return out & (F.pmod(c - (first or 0), F.lit(step)) == 0) if step > 1 else out
+    return out & (F.pmod(c - (1 if first is None else first), F.lit(step)) == 0) if step > 1 else out
 
 
 def atoms(s: System, predicate: Column | None = None) -> DataFrame:
@@ -101,3 +101,36 @@ def grow_by_bonds(s: System, sel: DataFrame, depth: int) -> DataFrame:
     for _ in range(depth):
         sel = union(sel, edges.join(sel.withColumnRenamed(KEY, "i"), "i", "left_semi").select(F.col("j").alias(KEY)))
     return sel
+
+
+def popcount(a: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
+    """(n): the distinct atoms, in a range if asked for."""
+    return a.filter(in_range(KEY, first, last)).agg(F.count_distinct(KEY).alias("n"))
+
+
+def test_range(a: DataFrame, first: int, last: int) -> DataFrame:
+    """(any, all): whether any and all atoms of a range are in the selection."""
+    return popcount(a, first, last).select((F.col("n") > 0).alias("any"), (F.col("n") == last - first + 1).alias("all"))
+
+
+def indices(a: DataFrame) -> DataFrame:
+    """(atom_idx) in order."""
+    return flatten(a).orderBy(KEY)
+
+
+def content_hash(a: DataFrame) -> DataFrame:
+    """(hash): the same for the same atoms, in whatever order and partitions."""
+    return flatten(a).agg(F.coalesce(F.bit_xor(F.xxhash64(KEY)), F.lit(0)).alias("x"), F.count("*").alias("n")).select(F.xxhash64("x", "n").alias("hash"))
+
+
+def serialize(a: DataFrame) -> DataFrame:
+    """(bucket, bitmap): a bit for each atom, in bitmaps of fixed size; empty ones are left out."""
+    at = F.col(KEY)
+    return a.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bitmap"))
+
+
+def deserialize(bitmaps: DataFrame) -> DataFrame:
+    """(atom_idx) from ``serialize``."""
+    size = 4096 * 8
+    places = F.expr(f"""filter(sequence(0, {size - 1}), i -> (conv(hex(substring(bitmap, i div 8 + 1, 1)), 16, 10) div CAST(power(2, i % 8) AS INT)) % 2 = 1)""")
+    return bitmaps.select("bucket", F.explode(places).alias("i")).select(((F.col("bucket") - 1) * size + F.col("i") + 1).alias(KEY))

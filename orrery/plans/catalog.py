@@ -12,7 +12,9 @@ from orrery.functions import geometry as g
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
 from orrery.operators import spatial
-from orrery.plans import language
+from orrery.functions import strings as st
+from orrery.functions import units
+from orrery.plans import language, script
 from orrery.schema import System
 from orrery.sources.surrogate import CELL, sql, system
 
@@ -116,7 +118,7 @@ for _name, _text, _where in (
     _on_system(_name, f"SELECT a.atom_idx FROM atoms a WHERE {_where}")(lambda s, q=_text: _keys(language.filter_atoms(s, q)))
 
 
-@_on_system("filter_in_context", "r AS (SELECT atom_idx, comp_idx, row_number() OVER (PARTITION BY comp_idx ORDER BY atom_idx) AS k FROM atoms) SELECT comp_idx AS group_id, atom_idx FROM r WHERE k <= 2")
+@_on_system("filter_in_context", "r AS (SELECT atom_idx, comp_idx, atom_idx - min(atom_idx) OVER (PARTITION BY comp_idx) + 1 AS k FROM atoms) SELECT comp_idx AS group_id, atom_idx FROM r WHERE k <= 2")
 def _in_context(s: System) -> DataFrame:
     return _groups(language.select(s, "atom(1:2) in residue(:)"))
 
@@ -144,12 +146,12 @@ for _name, _least in (("within_radius", 0.0), ("within_shell", 2.0)):
 
 @_on_system("range_join_pairs", f"SELECT a.frame::INTEGER AS frame, count(*) AS n FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx < b.atom_idx WHERE {_d2('a', 'b')} <= 4.0 GROUP BY a.frame")
 def _pairs(s: System) -> DataFrame:
-    return spatial.range_join(s.trajectory, s.trajectory, 2.0, s.cell).filter("i < j").groupBy(F.col("frame").cast("int").alias("frame")).agg(F.count("*").alias("n"))
+    return spatial.range_join(s.trajectory, s.trajectory, 2.0, s.cell, ordered=True).groupBy(F.col("frame").cast("int").alias("frame")).agg(F.count("*").alias("n"))
 
 
-@_on_system("covalent_bonds", f"""t AS (SELECT traj.*, radius FROM traj JOIN (SELECT atom_idx, radius FROM atoms) USING (atom_idx) WHERE frame = 0),
-q AS (SELECT a.atom_idx AS i, b.atom_idx AS j, sqrt({_d2('a', 'b')}) AS d, a.radius + b.radius AS r FROM t a JOIN t b ON a.atom_idx < b.atom_idx)
-SELECT i, j FROM q WHERE d > r * 0.65 AND d < r * 1.15""")
+@_on_system("covalent_bonds", f"""t AS (SELECT traj.*, radius, comp_idx FROM traj JOIN (SELECT atom_idx, radius, comp_idx FROM atoms) USING (atom_idx) WHERE frame = 0),
+q AS (SELECT a.atom_idx AS i, b.atom_idx AS j, sqrt({_d2('a', 'b')}) AS d, a.radius + b.radius AS r, a.comp_idx = b.comp_idx AS same FROM t a JOIN t b ON a.atom_idx < b.atom_idx)
+SELECT i, j FROM q WHERE d > r * 0.65 AND d < r * 1.15 * CASE WHEN same THEN 1.05 ELSE 1 END""")
 def _bonds(s: System) -> DataFrame:
     return p.covalent_bonds(s)
 
@@ -284,9 +286,9 @@ def _shape(s: System) -> DataFrame:
     return p.shape_weights(p.positions(s, sel.atoms(s)), ("frame", "comp_idx")).select(F.col("frame").cast("int"), "comp_idx", *[F.round(c, _R).alias(c) for c in ("linear", "planar", "isotropic")])
 
 
-@_on_system("aabb", "SELECT frame::INTEGER AS frame, comp_idx, " + ", ".join(f"round({f}({c}), {_R}) AS {f}_{c}" for f in ("min", "max") for c in "xyz") + f" {_OF} GROUP BY ALL")
+@_on_system("aabb", "SELECT frame::INTEGER AS frame, comp_idx, " + ", ".join(f"round({f}({c} {'+' if f == 'max' else '-'} radius), {_R}) AS {f}_{c}" for f in ("min", "max") for c in "xyz") + f" {_OF.replace('comp_idx FROM', 'comp_idx, radius FROM')} GROUP BY ALL")
 def _aabb(s: System) -> DataFrame:
-    b = p.bounds(p.positions(s, sel.atoms(s)), ("frame", "comp_idx"))
+    b = p.bounds(p.positions(s, sel.atoms(s)).join(s.atoms.select("atom_idx", "radius"), "atom_idx"), ("frame", "comp_idx"), "radius")
     return b.select(F.col("frame").cast("int"), "comp_idx", *[F.round(c, _R).alias(c) for c in b.columns[2:]])
 
 
@@ -332,8 +334,8 @@ def _interp_cubic(s: System) -> DataFrame:
     return p.interpolate_cubic(s, 0.25).select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
 
 
-@_on_system("structures", """e AS (SELECT i, j FROM bonds UNION ALL SELECT j, i FROM bonds UNION ALL SELECT atom_idx, atom_idx FROM atoms)
-SELECT atom_idx, min(atom_idx) OVER (PARTITION BY comp_idx) AS structure FROM atoms WHERE atom_idx IN (SELECT i FROM e)""")
+@_on_system("structures", """d AS (SELECT atom_idx AS a, atom_idx AS b FROM atoms WHERE atom_idx NOT IN (SELECT greatest(i, j) FROM bonds) UNION SELECT d.a, e.j FROM d JOIN (SELECT i, j FROM bonds UNION SELECT j, i FROM bonds) e ON d.b = e.i)
+SELECT b AS atom_idx, min(a) AS structure FROM d GROUP BY b""", recursive=True)
 def _structures(s: System) -> DataFrame:
     return p.structures(s).select("atom_idx", "structure")
 
@@ -378,6 +380,93 @@ _array_query("scalar_math", "round(sqrt(abs(a[1])), 4) AS sqrt, round(exp(a[1]),
                                                                       F.round(F.sin("x"), 4).alias("sin"), F.round(F.atan2("x", "y"), 4).alias("atan2"), F.floor(F.col("x") * 10).cast("long").alias("floor"), F.ceil(F.col("x") * 10).cast("long").alias("ceil")))
 
 
+# --- scripts ---------------------------------------------------------------------------------------------------------
+def _scripted(name: str, text: str, statement: str, columns: tuple[str, ...] = ()) -> None:
+    """The value ``v`` of a script; ``columns`` names the items of an array."""
+    def build(s: System) -> DataFrame:
+        t = script.table(script.run(s, text)["v"], s.atoms.sparkSession)
+        if "group_id" in t.columns:
+            return _groups(t)
+        keys = [F.col(k).cast("int" if k == "frame" else "long").alias(k) for k in t.columns if k in ("frame", "i", "bin")]
+        parts = [F.element_at("value", k).alias(c) for k, c in enumerate(columns, 1)] or [F.col("value")]
+        more = [F.col(c) for c in ("axis",) if c in t.columns]
+        return t.select(*keys, *more, *[F.round(x.cast("double"), _R).alias(n) for x, n in zip(parts, columns or ("value",), strict=True)])
+
+    _on_system(name, statement)(build)
+
+
+_T = "t AS (SELECT frame, atom_idx, x, y, z, element, mass, comp_idx FROM traj JOIN (SELECT atom_idx, element, mass, comp_idx FROM atoms) USING (atom_idx))"
+_FR = "frame::INTEGER AS frame"
+_scripted("script_coord_arith", "x = coord_x(element('C')); v = x * 2 + 1;", f"{_T} SELECT {_FR}, row_number() OVER (PARTITION BY frame ORDER BY atom_idx) AS i, round(x * 2 + 1, {_R}) AS value FROM t WHERE element = 'C'")
+_scripted("script_coord_in", "v = coord(1) in residue(:);", f"{_T}, m AS (SELECT *, min(atom_idx) OVER (PARTITION BY frame, comp_idx) AS first FROM t) SELECT {_FR}, row_number() OVER (PARTITION BY frame ORDER BY comp_idx) AS i, round(x, {_R}) AS x, round(y, {_R}) AS y, round(z, {_R}) AS z FROM m WHERE atom_idx = first", ("x", "y", "z"))
+_scripted("script_min_max", "{lo, hi} = {min(coord_z(all)), max(coord_z(all))}; v = {lo, hi, hi - lo};", f"SELECT {_FR}, round(min(z), {_R}) AS lo, round(max(z), {_R}) AS hi, round(max(z) - min(z), {_R}) AS span FROM traj GROUP BY frame", ("lo", "hi", "span"))
+_scripted("script_functions", "a = max(coord_x(all)); b = max(coord_y(all)); v = {sqrt(a), cbrt(a), exp(-a), log(a), log2(a), log10(a), exp2(a / 10), sin(a), cos(a), atan(a), atan2(a, b), pow(a, 2), min(a, b), floor(a), ceil(a), abs(-a)};",
+          f"m AS (SELECT frame, max(x) AS a, max(y) AS b FROM traj GROUP BY frame) SELECT {_FR}, " + ", ".join(f"round({e}, {_R}) AS c{i}" for i, e in enumerate(("sqrt(a)", "cbrt(a)", "exp(-a)", "ln(a)", "log2(a)", "log10(a)", "pow(2, a / 10)", "sin(a)", "cos(a)", "atan(a)", "atan2(a, b)", "a * a", "least(a, b)", "floor(a)", "ceil(a)", "a"))) + " FROM m", tuple(f"c{i}" for i in range(16)))
+_scripted("script_vectors", "a = coord(:)[1, :]; b = coord(:)[2, :]; n = normalize(cross(a, b)); v = {dot(a, b), length(a), n[1], n[2], n[3]};",
+          f"""p AS (SELECT a.frame, a.x AS ax, a.y AS ay, a.z AS az, b.x AS bx, b.y AS "by", b.z AS bz FROM traj a JOIN traj b USING (frame) WHERE a.atom_idx = 1 AND b.atom_idx = 2),
+c AS (SELECT *, ay*bz-az*"by" AS cx, az*bx-ax*bz AS cy, ax*"by"-ay*bx AS cz FROM p)
+SELECT {_FR}, round(ax*bx+ay*"by"+az*bz, {_R}) AS dot, round(sqrt(ax*ax+ay*ay+az*az), {_R}) AS length, round(cx/sqrt(cx*cx+cy*cy+cz*cz), {_R}) AS nx, round(cy/sqrt(cx*cx+cy*cy+cz*cz), {_R}) AS ny, round(cz/sqrt(cx*cx+cy*cy+cz*cz), {_R}) AS nz FROM c""", ("dot", "length", "nx", "ny", "nz"))
+_scripted("script_distance_min", "v = min(distance_pair(element('N'), element('He')));", f"SELECT a.frame::INTEGER AS frame, round(min(sqrt({_d2('a', 'b')})), {_R}) AS value FROM traj a JOIN traj b ON a.frame = b.frame WHERE a.atom_idx IN (SELECT atom_idx FROM atoms WHERE element = 'N') AND b.atom_idx IN (SELECT atom_idx FROM atoms WHERE element = 'He') GROUP BY a.frame")
+_scripted("script_count_levels", "s = within_x(0:5); v = {count(s), count(s, 'residue'), count(s, 'chain')};", f"""w AS (SELECT DISTINCT t.atom_idx, a.comp_idx, c.inst_idx FROM traj t JOIN atoms a ON t.atom_idx = a.atom_idx JOIN components c ON a.comp_idx = c.comp_idx WHERE frame = 0 AND x BETWEEN 0 AND 5),
+n AS (SELECT count(DISTINCT atom_idx)::DOUBLE AS atoms, count(DISTINCT comp_idx)::DOUBLE AS residues, count(DISTINCT inst_idx)::DOUBLE AS chains FROM w) SELECT DISTINCT {_FR}, atoms, residues, chains FROM traj, n""", ("atoms", "residues", "chains"))
+_scripted("script_transpose", "v = transpose(coord(1:3));", f"SELECT a.{_FR.replace('frame::', 'frame::')}, k AS i, round(CASE k WHEN 1 THEN a.x WHEN 2 THEN a.y ELSE a.z END, {_R}) AS a, round(CASE k WHEN 1 THEN b.x WHEN 2 THEN b.y ELSE b.z END, {_R}) AS b, round(CASE k WHEN 1 THEN c.x WHEN 2 THEN c.y ELSE c.z END, {_R}) AS c FROM traj a JOIN traj b ON a.frame = b.frame AND b.atom_idx = 2 JOIN traj c ON a.frame = c.frame AND c.atom_idx = 3, (SELECT unnest([1::BIGINT, 2, 3]) AS k) WHERE a.atom_idx = 1", ("a", "b", "c"))
+_scripted("script_subscript", "v = coord(all)[2:3:, 2:3];", f"r AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY atom_idx) AS k FROM traj) SELECT {_FR}, (k - 2) // 3 + 1 AS i, round(y, {_R}) AS y, round(z, {_R}) AS z FROM r WHERE k >= 2 AND (k - 2) % 3 = 0", ("y", "z"))
+_scripted("script_field_arith", "f = rdf(element('C'), element('O'), 5.0); v = f * 2 + 1;", f"""q AS (SELECT a.frame, round(sqrt({_d2('a', 'b')}), 9) AS d FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx <> b.atom_idx
+  JOIN atoms p ON p.atom_idx = a.atom_idx AND p.element = 'C' JOIN atoms o ON o.atom_idx = b.atom_idx AND o.element = 'O')
+SELECT {_FR}, least(floor((d - 0.001) / {5.0 / 1024}), 1023)::BIGINT AS bin, (count(*) * 2 + 1)::DOUBLE AS value FROM q WHERE d >= 0.001 AND d <= 5.0 GROUP BY ALL""")
+_scripted("script_nested_in", "v = (atom(1) in residue(:)) in residue(:);", "SELECT comp_idx::BIGINT AS group_id, min(atom_idx) AS atom_idx FROM atoms GROUP BY comp_idx")
+_scripted("script_chain_rank", "v = chain(1:2);", """r AS (SELECT inst_idx, row_number() OVER (ORDER BY inst_idx) AS k FROM instances WHERE flags & 2 <> 0)
+SELECT c.inst_idx::BIGINT AS group_id, atom_idx FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx JOIN r ON c.inst_idx = r.inst_idx WHERE k <= 2""")
+_scripted("script_within_in", "v = within(2.0) in residue(1:3);", f"""f AS (SELECT t.*, comp_idx FROM traj t JOIN (SELECT atom_idx, comp_idx FROM atoms) USING (atom_idx) WHERE frame = 0)
+SELECT DISTINCT a.comp_idx::BIGINT AS group_id, b.atom_idx FROM f a JOIN f b ON a.comp_idx <> b.comp_idx WHERE a.comp_idx <= 3 AND {_d2('a', 'b')} <= 4.0""")
+_scripted("script_out", "v = (out element('N')) in residue(1:2);", "SELECT c.comp_idx::BIGINT AS group_id, a.atom_idx FROM atoms a, (SELECT comp_idx FROM components WHERE comp_idx <= 2) c WHERE a.element = 'N'")
+_scripted("script_density", "v = density(all);", " UNION ALL ".join(f"SELECT frame::INTEGER AS frame, '{c}' AS axis, least(floor(u / {_L / 1024}), 1023)::BIGINT AS bin, round(sum(mass) * {p.DENSITY} / {_L ** 3 / 1024}, {_R}) AS value FROM (SELECT frame, round({c} - {_L} * floor({c} / {_L}), 9) AS u, mass FROM (SELECT frame, atom_idx, {c} FROM traj) JOIN (SELECT atom_idx, mass FROM atoms) USING (atom_idx)) GROUP BY ALL" for c in "xyz").replace("SELECT", "qq AS (SELECT 1) SELECT", 1))
+
+
+@_on_system("rdf_weights", f"""q AS (SELECT a.frame, round(sqrt({_d2('a', 'b')}), 9) AS d FROM traj a JOIN traj b ON a.frame = b.frame AND a.atom_idx <> b.atom_idx
+  JOIN atoms p ON p.atom_idx = a.atom_idx AND p.element = 'C' JOIN atoms o ON o.atom_idx = b.atom_idx AND o.element = 'O'),
+n AS (SELECT frame, least(floor((d - 0.001) / {5.0 / 64}), 63)::BIGINT AS bin, count(*) AS n FROM q WHERE d >= 0.001 AND d <= 5.0 GROUP BY ALL)
+SELECT {_FR}, bin, n, round(sum(n) OVER (PARTITION BY frame) / (125.0::DOUBLE) * (pow((bin + 0.5) * {5.0 / 64}, 3) - CASE WHEN bin > 0 THEN pow((bin - 0.5) * {5.0 / 64}, 3) ELSE 0 END), {_R}) AS weight FROM n""")
+def _rdf_weights(s: System) -> DataFrame:
+    c, o = (s.trajectory.join(sel.atoms(s, F.col("element") == e), "atom_idx") for e in "CO")
+    return p.rdf_weighted(c, o, s.cell, 5.0, 0.0, 64).select(F.col("frame").cast("int"), F.col("bin").cast("long"), "n", F.round("weight", _R).alias("weight"))
+
+
+@_on_system("in_sphere", f"SELECT {_FR}, atom_idx FROM traj WHERE " + " + ".join(f"{_mi(f'{c} - 1')} * {_mi(f'{c} - 1')}" for c in "xyz") + " <= 16.0")
+def _sphere(s: System) -> DataFrame:
+    return spatial.in_sphere(s.trajectory, (1, 1, 1), 4.0, s.cell).select(F.col("frame").cast("int"), "atom_idx")
+
+
+@_on_system("in_box", f"SELECT {_FR}, atom_idx FROM traj WHERE " + " AND ".join(f"abs({_mi(f'{c} - 1')}) <= {h}" for c, h in zip("xyz", (2, 3, 4), strict=True)))
+def _box(s: System) -> DataFrame:
+    return spatial.in_box(s.trajectory, (1, 1, 1), (2, 3, 4), s.cell).select(F.col("frame").cast("int"), "atom_idx")
+
+
+@_on_system("selection_popcount", "SELECT count(*) AS n FROM atoms WHERE element = 'C' AND atom_idx BETWEEN 10 AND 300")
+def _popcount(s: System) -> DataFrame:
+    return sel.popcount(sel.atoms(s, F.col("element") == "C"), 10, 300)
+
+
+@_on_system("selection_bitmap", "SELECT atom_idx FROM atoms WHERE element IN ('C', 'N')")
+def _bitmap(s: System) -> DataFrame:
+    return _keys(sel.deserialize(sel.serialize(sel.atoms(s, F.col("element").isin("C", "N")))))
+
+
+_array_query("array_normalize", f"round(a[1] / sqrt(list_inner_product(a, a)), {_R}) AS value", lambda d: d.select("vec_id", F.round(F.element_at(arr.normalize(F.col("a")), 1), _R).alias("value")))
+_array_query("matrix_mul", f"round(a[1]*a[5] + a[2]*a[7], {_R}) AS m11, round(a[3]*a[6] + a[4]*a[8], {_R}) AS m22, round(a[3]*a[5] + a[4]*a[6], {_R}) AS v2",
+             lambda d: d.withColumns({"m": F.array(F.slice("a", 1, 2), F.slice("a", 3, 2)), "o": F.array(F.slice("a", 5, 2), F.slice("a", 7, 2))}).withColumns({"p": arr.matmul(F.col("m"), F.col("o")), "v": arr.matvec(F.col("m"), F.slice("a", 5, 2))}).select(
+                 "vec_id", F.round(F.col("p")[0][0], _R).alias("m11"), F.round(F.col("p")[1][1], _R).alias("m22"), F.round(F.col("v")[1], _R).alias("v2")))
+
+QUERIES["string_functions"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.parquet").select(
+    "n_name", st.find(F.col("n_name"), "A").cast("long").alias("first"), st.find_last(F.col("n_name"), "A").cast("long").alias("last"), st.substring(F.col("n_name"), 1, 3).alias("part"), st.common_prefix(F.col("n_name"), F.lit("INDIANA")).cast("long").alias("prefix"),
+    F.size(st.tokens(F.col("n_name"))).cast("long").alias("words"), st.equal(F.col("n_name"), F.lit("china"), ignore_case=True).alias("same"), st.matches_pattern(F.col("n_name"), "?R*").alias("pattern"), st.to_base64(F.col("n_name")).alias("base64"))
+ORACLE_SQL["string_functions"] = """SELECT n_name, (instr(n_name, 'A') - 1)::BIGINT AS first, CASE WHEN instr(n_name, 'A') > 0 THEN length(n_name) - instr(reverse(n_name), 'A') ELSE -1 END::BIGINT AS last, substr(n_name, 2, 3) AS part,
+(SELECT coalesce(max(k), 0) FROM (SELECT unnest(range(1, 8)) AS k) WHERE k <= length(n_name) AND substr(n_name, 1, k) = substr('INDIANA', 1, k))::BIGINT AS prefix, len(string_split(n_name, ' '))::BIGINT AS words, lower(n_name) = 'china' AS same,
+n_name LIKE '_R%' AS pattern, base64(n_name::BLOB) AS base64 FROM nation"""
+QUERIES["unit_convert"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.round(units.convert(F.col("value"), units.parse("kJ/mol"), units.parse("eV/mol")) / 1e21, 6).alias("value"))
+ORACLE_SQL["unit_convert"] = "SELECT event_id, round(value * 1000.0::DOUBLE / 1.602176634e-19 / 1e21, 6) AS value FROM events"
+
+
 # --- imported tables and strings -------------------------------------------------------------------------------------
 def _import_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of a table joined to frames by time, equal within a tolerance: an equi-join on buckets twice as wide, and their neighbours."""

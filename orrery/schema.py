@@ -16,7 +16,7 @@ class System:
     """Topology and coordinates as DataFrames.
 
     atoms(atom_idx from 1, type, element, z, mass, radius, flags, comp_idx), components(comp_idx, name, seq_id, flags, inst_idx),
-    instances(inst_idx, id, auth_id, flags), bonds(i, j), trajectory(frame, atom_idx, x, y, z); ``cell`` holds the lengths of an
+    instances(inst_idx, id, auth_id, flags), bonds(i, j), trajectory(frame, atom_idx, x, y, z), frames(frame, time) if known; ``cell`` holds the lengths of an
     orthorhombic cell, 0 for an axis without a period.
     """
 
@@ -26,3 +26,4 @@ class System:
     bonds: DataFrame
     trajectory: DataFrame
     cell: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    frames: DataFrame | None = None

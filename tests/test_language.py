@@ -11,6 +11,7 @@ from orrery.sources import sinks, text
 
 @pytest.fixture(scope="module")
 def system(spark):
+    # fixed values: the atoms of the small system and their types
     types = {"H1": ("H", 1), "HE": ("He", 2), "CA": ("C", 6), "N": ("N", 7), "O": ("O", 8)}
     of, comp = "H1 O H1 HE CA O CA O H1 O H1 HE CA N CA O".split(), [1] * 3 + [2] * 5 + [3] * 4 + [4] * 4
     atoms = spark.createDataFrame([(i + 1, t, *types[t], 1.0, 1.0, 0x4 if t == "CA" else 0, c) for i, (t, c) in enumerate(zip(of, comp, strict=True))],
