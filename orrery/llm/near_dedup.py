@@ -8,7 +8,7 @@ ordered tuple with a probability that grows with their likeness.  Texts that sha
 Recall is that of one shared tuple in SKETCHES: a pair whose words are changed one by one, evenly, keeps few k-mers of five
 words, about a fifth at similarity 0.8.  Measured on texts of 150 and 400 words with words replaced at random, more than
 0.9 of pairs share a tuple at similarity 0.8 and nearly all from 0.85 up; of texts of 30 to 60 words about 0.8 at 0.8
-(tests/llm measures it against all pairs).  Edits that stand together cost fewer k-mers.
+(tests/llm measures it on planted pairs of 200 words).  Edits that stand together cost fewer k-mers.
 
 Candidates are verified by a banded alignment of their words: similarity is 1 - edit distance / longer length, and 0.8 or
 more makes a link; the band is as wide as such a distance allows.  Classes are the connected components of links.

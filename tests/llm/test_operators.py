@@ -311,7 +311,7 @@ def test_lines_brute_force(spark):
 
 
 def test_near_recall(spark):
-    """Of planted pairs at each similarity, those found; the whole query against all pairs."""
+    """Of planted pairs at each similarity, the share that the whole query joins."""
     rng, levels, n = random.Random(17), (0.80, 0.85, 0.90, 0.95), 60
     texts = []
     for s in levels:
