@@ -6,7 +6,7 @@ import re
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
@@ -185,18 +185,22 @@ def interpolate_cubic(s: System, t: float, tension: float = 0.5) -> DataFrame:
     return out.filter("ax IS NOT NULL AND dx IS NOT NULL").select("frame", "atom_idx", *[at(c, n).alias(c) for c, n in zip("xyz", s.cell, strict=True)])
 
 
+def checkpoints(spark: SparkSession) -> None:
+    """Sees to a folder for checkpoint(): the one that the cluster names; on one machine, where none is named, one of its own."""
+    if not spark.sparkContext.getCheckpointDir():
+        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-"))
+
+
 def structures(s: System) -> DataFrame:
     """(atom_idx, structure): the least atom of the connected structure of bonds, for each atom.
 
     Least labels spread along bonds and jump over what they have reached already, so rounds are about the logarithm of the
     longest path; each round is written by checkpoint(), in the folder that the cluster names.
     """
-    spark = s.atoms.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="orrery-"))
+    checkpoints(s.atoms.sparkSession)
     edges = s.bonds.select("i", "j").union(s.bonds.select(F.col("j").alias("i"), F.col("i").alias("j"))).filter("i <> j").distinct().checkpoint()
     label = s.atoms.select("atom_idx", F.col("atom_idx").alias("structure"))
     while True:

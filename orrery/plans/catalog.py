@@ -11,12 +11,13 @@ from orrery.functions import arrays as arr
 from orrery.functions import geometry as g
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
-from orrery.operators import spatial
+from orrery.operators import spatial, structure
+from orrery.functions import names
 from orrery.functions import strings as st
 from orrery.functions import units
 from orrery.plans import language, script
 from orrery.schema import System
-from orrery.sources.surrogate import CELL, sql, system
+from orrery.sources.surrogate import CELL, PEPTIDE_SQL, peptide, sql, system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -484,3 +485,140 @@ JOIN (SELECT unnest(range(0, 21)) AS frame) f ON abs(time - frame) <= 0.25 GROUP
 
 QUERIES["levenshtein_suggest"] = lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_name", F.levenshtein(F.lower("n_name"), F.lit("germny")).cast("long").alias("d")).orderBy("d", "n_name").limit(3)
 ORACLE_SQL["levenshtein_suggest"] = "SELECT n_name, levenshtein(lower(n_name), 'germny') AS d FROM nation ORDER BY d, n_name LIMIT 3"
+
+
+# --- structure: backbones, rings, hydrogen bonds, whole molecules ------------------------------------------------------
+def _on_peptide(name: str, statement: str, recursive: bool = False) -> Callable:
+    def add(build: Callable[[System], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: build(peptide(spark, sf_dir))
+        ORACLE_SQL[name] = sql(f"{PEPTIDE_SQL}{'' if statement.lstrip().startswith('SELECT') else ','}\n{statement}", recursive)
+        return build
+
+    return add
+
+
+_FULL = "(SELECT comp_idx FROM p_atoms GROUP BY comp_idx HAVING count(*) >= 4)"
+_SEGMENTS = f"""full_comps AS (SELECT comp_idx, name, seq_id, seq_id - row_number() OVER (ORDER BY comp_idx) AS island FROM p_components WHERE comp_idx IN {_FULL}),
+seg AS (SELECT *, count(*) OVER (PARTITION BY island) AS length, min(comp_idx) OVER (PARTITION BY island) AS range_id FROM full_comps)"""
+
+
+def _dihedral_sql(a: str, b: str, c: str, d: str) -> str:
+    """The angle from the projections of the outer bonds on the plane across the middle one."""
+    u, v, w = ([_mi(f"{q}.{k} - {p}.{k}") for k in "xyz"] for p, q in ((a, b), (b, c), (c, d)))
+    inner = lambda p, q: "(" + " + ".join(f"{x} * {y}" for x, y in zip(p, q, strict=True)) + ")"
+    cross = lambda p, q: [f"({p[i]} * {q[j]} - {p[j]} * {q[i]})" for i, j in ((1, 2), (2, 0), (0, 1))]
+    first, second = cross(u, v), cross(v, w)
+    return f"atan2(sqrt({inner(v, v)}) * {inner(u, second)}, {inner(first, second)})"
+
+
+@_on_peptide("backbone_segments", f"{_SEGMENTS} SELECT comp_idx, range_id, (comp_idx - range_id)::BIGINT AS segment FROM seg WHERE length >= 3")
+def _segments(s: System) -> DataFrame:
+    return structure.backbone_segments(s).select(F.col("comp_idx").cast("long"), F.col("range_id").cast("long"), F.col("segment").cast("long"))
+
+
+@_on_peptide("backbone_angles", f"""{_SEGMENTS} SELECT b.frame::INTEGER AS frame, comp_idx, round({_dihedral_sql('a', 'b', 'c', 'd')}, {_R}) AS phi, round({_dihedral_sql('b', 'c', 'd', 'e')}, {_R}) AS psi
+FROM seg JOIN traj b ON b.atom_idx = comp_idx * 5 - 4 JOIN traj a ON a.frame = b.frame AND a.atom_idx = comp_idx * 5 - 7 JOIN traj c ON c.frame = b.frame AND c.atom_idx = comp_idx * 5 - 3
+JOIN traj d ON d.frame = b.frame AND d.atom_idx = comp_idx * 5 - 2 JOIN traj e ON e.frame = b.frame AND e.atom_idx = comp_idx * 5 + 1 WHERE length >= 4 AND comp_idx > range_id AND comp_idx < range_id + length - 1""")
+def _angles(s: System) -> DataFrame:
+    return structure.backbone_angles(s).select(F.col("frame").cast("int"), F.col("comp_idx").cast("long"), F.round("phi", _R).alias("phi"), F.round("psi", _R).alias("psi"))
+
+
+@_on_peptide("ramachandran", f"""{_SEGMENTS} SELECT a.comp_idx, CASE WHEN b.name = 'PRO' THEN 'preproline' WHEN a.name = 'GLY' THEN 'glycine' WHEN a.name = 'PRO' THEN 'proline' ELSE 'general' END AS kind
+FROM seg a LEFT JOIN seg b ON a.range_id = b.range_id AND b.comp_idx = a.comp_idx + 1 WHERE a.length >= 3""")
+def _ramachandran(s: System) -> DataFrame:
+    return structure.ramachandran(s).select(F.col("comp_idx").cast("long"), "kind")
+
+
+def _angle_sql(u: list[str], v: list[str]) -> str:
+    inner = lambda p, q: "(" + " + ".join(f"{x} * {y}" for x, y in zip(p, q, strict=True)) + ")"
+    return f"acos(greatest(-1, least(1, {inner(u, v)} / sqrt({inner(u, u)} * {inner(v, v)}))))"
+
+
+def _from_to(a: str, b: str) -> list[str]:
+    return [_mi(f"{b}.{k} - {a}.{k}") for k in "xyz"]
+
+
+@_on_peptide("backbone_bends", f"""{_SEGMENTS}, m AS (SELECT b.frame, comp_idx FROM seg JOIN traj a ON a.atom_idx = comp_idx * 5 - 13 JOIN traj b ON b.frame = a.frame AND b.atom_idx = comp_idx * 5 - 3
+JOIN traj c ON c.frame = a.frame AND c.atom_idx = comp_idx * 5 + 7 WHERE length >= 3 AND comp_idx >= range_id + 2 AND comp_idx < range_id + length - 2 AND {_angle_sql(_from_to('a', 'b'), _from_to('b', 'c'))} > radians(70))
+SELECT DISTINCT {_FR}, comp_idx + unnest([-2, -1, 0, 1, 2]) AS comp_idx FROM m""")
+def _bends(s: System) -> DataFrame:
+    return structure.bends(s).select(F.col("frame").cast("int"), F.col("comp_idx").cast("long"))
+
+
+@_on_peptide("hydrogen_bonds", f"""e AS (SELECT i, j FROM p_bonds UNION SELECT j, i FROM p_bonds), deg AS (SELECT i, count(*) AS n FROM e GROUP BY i),
+don AS (SELECT e.i AS donor, e.j AS hydrogen FROM e JOIN p_atoms a ON e.i = a.atom_idx JOIN p_atoms h ON e.j = h.atom_idx WHERE a.z IN (7, 8, 16) AND h.z = 1),
+acc AS (SELECT atom_idx AS acceptor FROM p_atoms LEFT JOIN deg ON i = atom_idx WHERE z = 7 AND coalesce(n, 0) <= 3 OR z = 8 AND coalesce(n, 0) <= 2),
+c AS (SELECT d.frame, donor, hydrogen, acceptor, {_angle_sql(_from_to('h', 'd'), _from_to('h', 'a'))} AS angle, sqrt({_d2('h', 'a')}) AS far FROM don JOIN traj d ON d.atom_idx = donor
+JOIN traj h ON h.atom_idx = hydrogen AND h.frame = d.frame JOIN traj a ON a.frame = d.frame JOIN acc ON a.atom_idx = acceptor WHERE donor <> acceptor AND {_d2('d', 'a')} <= 25.0),
+r AS (SELECT *, round(cos(pi() - angle) / far, 9) AS score FROM c WHERE angle > radians(120)),
+best AS (SELECT *, row_number() OVER (PARTITION BY frame, hydrogen ORDER BY score DESC, acceptor) AS k FROM r),
+kept AS (SELECT *, row_number() OVER (PARTITION BY frame, acceptor ORDER BY score DESC, hydrogen) AS m FROM best WHERE k = 1)
+SELECT {_FR}, donor, hydrogen, acceptor, round(score, {_R}) AS score FROM kept WHERE m <= 2""")
+def _hydrogen_bonds(s: System) -> DataFrame:
+    return structure.hydrogen_bonds(s, 5.0, 120.0).select(F.col("frame").cast("int"), "donor", "hydrogen", "acceptor", F.round("score", _R).alias("score"))
+
+
+# hexagons on every six atoms, with a bond across in every third
+_HEXAGONS = "i, j FROM (SELECT atom_idx AS i, unnest(CASE (atom_idx - 1) % 6 WHEN 0 THEN CASE WHEN (atom_idx - 1) % 18 = 0 THEN [atom_idx + 1, atom_idx + 5, atom_idx + 3] ELSE [atom_idx + 1, atom_idx + 5] END WHEN 5 THEN []::BIGINT[] ELSE [atom_idx + 1] END) AS j FROM atoms) WHERE j IN (SELECT atom_idx FROM atoms)"
+
+
+@_on_system("rings", f"""b AS (SELECT {_HEXAGONS}), ok AS (SELECT atom_idx FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx WHERE c.flags & 393216 = 0),
+e AS (SELECT i, j FROM (SELECT i, j FROM b UNION SELECT j, i FROM b) WHERE i IN (FROM ok) AND j IN (FROM ok)),
+w AS (SELECT [i, j] AS path FROM e WHERE j > i UNION ALL SELECT list_append(path, e.j) FROM w JOIN e ON e.i = path[-1] WHERE len(path) < 6 AND e.j > path[1] AND NOT list_contains(path, e.j)),
+c AS (SELECT path FROM w JOIN e ON e.i = path[-1] AND e.j = path[1] WHERE len(path) >= 3 AND path[2] < path[-1])
+SELECT array_to_string(path, ',') AS ring, len(path)::BIGINT AS size FROM c WHERE (SELECT count(*) FROM e WHERE list_contains(path, e.i) AND list_contains(path, e.j)) = 2 * len(path)""", recursive=True)
+def _rings(s: System) -> DataFrame:
+    i = F.col("atom_idx")
+    k = (i - 1) % 6
+    to = F.when((i - 1) % 18 == 0, F.array(i + 1, i + 5, i + 3)).when(k == 0, F.array(i + 1, i + 5)).when(k < 5, F.array(i + 1))
+    bonds = s.atoms.select(i.alias("i"), F.explode(to).alias("j")).join(s.atoms.select(i.alias("j")), "j", "left_semi").select("i", "j")
+    return structure.rings(System(s.atoms, s.components, s.instances, bonds, s.trajectory, s.cell)).select(F.concat_ws(",", "ring").alias("ring"), F.col("size").cast("long"))
+
+
+_HOPS = [f"round((n.{c} - t.{c}) / {_L})" for c in "xyz"]
+
+
+@_on_system("unwrap", f"""h AS (SELECT t.frame, b.i, b.j, {", ".join(f"{h}::INTEGER AS h{c}" for h, c in zip(_HOPS, "xyz", strict=True))} FROM bonds b JOIN traj t ON t.atom_idx = b.i JOIN traj n ON n.frame = t.frame AND n.atom_idx = b.j),
+w AS (SELECT frame, atom_idx, 0 AS sx, 0 AS sy, 0 AS sz FROM traj WHERE atom_idx NOT IN (SELECT j FROM bonds)
+UNION ALL SELECT h.frame, h.j, sx - hx, sy - hy, sz - hz FROM w JOIN h ON h.frame = w.frame AND h.i = w.atom_idx)
+SELECT w.frame::INTEGER AS frame, w.atom_idx, {", ".join(f"round({c} + s{c} * {_L}, {_R}) AS {c}" for c in "xyz")} FROM w JOIN traj t ON t.frame = w.frame AND t.atom_idx = w.atom_idx""", recursive=True)
+def _unwrap(s: System) -> DataFrame:
+    return structure.unwrap(s).select(F.col("frame").cast("int"), "atom_idx", *[F.round(c, _R).alias(c) for c in "xyz"])
+
+
+@_on_system("morton_argsort", f"""p AS (SELECT atom_idx, x, y, z FROM traj WHERE frame = 0), b AS (SELECT min(x) AS lx, min(y) AS ly, min(z) AS lz, greatest(max(x) - min(x), max(y) - min(y), max(z) - min(z)) AS ext FROM p),
+k AS (SELECT atom_idx, {", ".join(f"floor(({c} - l{c}) / ext * 1023 + 0.5)::BIGINT AS {c}" for c in "xyz")} FROM p, b),
+m AS (SELECT atom_idx, {" + ".join(f"((({c} >> {i}) & 1) << {3 * i + n})" for i in range(10) for n, c in enumerate("xyz"))} AS key FROM k)
+SELECT atom_idx, row_number() OVER (ORDER BY key, atom_idx) - 1 AS position FROM m""")
+def _morton_argsort(s: System) -> DataFrame:
+    return structure.numbered(p.morton(s.trajectory.filter("frame = 0")), "key", "atom_idx").select("atom_idx", F.col("position").cast("long"))
+
+
+@_on_peptide("instance_runs", """t AS (SELECT comp_idx, (comp_idx - 1) % 40 AS k FROM p_components), l AS (SELECT comp_idx, EXISTS (SELECT 1 FROM p_bonds WHERE (i - 1) // 5 + 1 = comp_idx - 1 AND (j - 1) // 5 + 1 = comp_idx AND k <> 0) AS stays FROM t),
+r AS (SELECT comp_idx, max(CASE WHEN NOT stays THEN comp_idx END) OVER (ORDER BY comp_idx) AS inst_idx, count(CASE WHEN NOT stays THEN 1 END) OVER (ORDER BY comp_idx) - 1 AS n FROM l)
+SELECT comp_idx, inst_idx, CASE WHEN n >= 702 THEN chr((n // 676 - 1)::INTEGER % 26 + 65) ELSE '' END || CASE WHEN n >= 26 THEN chr((n // 26 - 1)::INTEGER % 26 + 65) ELSE '' END || chr((n % 26)::INTEGER + 65) AS chain FROM r""")
+def _instance_runs(s: System) -> DataFrame:
+    # every fortieth residue begins a chain of its own
+    of = F.floor((F.col("j") - 1) / 5)
+    bonds = s.bonds.filter(~((of % 40 == 0) & (F.floor((F.col("i") - 1) / 5) != of)))
+    return structure.instance_runs(System(s.atoms, s.components, s.instances, bonds, s.trajectory, s.cell)).select(F.col("comp_idx").cast("long"), F.col("inst_idx").cast("long"), "chain")
+
+
+@_on_peptide("component_flags", f"SELECT comp_idx, CASE WHEN comp_idx IN {_FULL} THEN 512 ELSE 0 END AS flags FROM p_components")
+def _component_flags(s: System) -> DataFrame:
+    return structure.component_flags(s).select(F.col("comp_idx").cast("long"), "flags")
+
+
+@_on_peptide("backbone_flags", f"SELECT atom_idx, CASE WHEN type IN ('N', 'CA', 'C') THEN 4 ELSE 0 END AS flags FROM p_atoms WHERE comp_idx IN {_FULL}")
+def _backbone_flags(s: System) -> DataFrame:
+    return structure.backbone_flags(s).select("atom_idx", "flags")
+
+
+@_on_system("element_inference", "SELECT atom_idx, z AS by_mass, CASE type WHEN 'HE' THEN (CASE c.name WHEN 'PFT' THEN 1 ELSE 1 END) WHEN 'CA' THEN 6 ELSE z END AS by_label, element AS symbol FROM atoms a JOIN components c ON a.comp_idx = c.comp_idx")
+def _elements(s: System) -> DataFrame:
+    a = s.atoms.join(s.components.select("comp_idx", "name"), "comp_idx")
+    return a.select("atom_idx", names.z_of_mass(F.col("mass")).alias("by_mass"), names.z_of_label(F.col("type"), F.col("name"), F.lit(10)).alias("by_label"), names.symbol_of_z(F.col("z")).alias("symbol"))
+
+
+_on_system("residue_classes", "SELECT comp_idx, name = 'SOL' AS water, name IN ('LYS', 'ALA') AS amino, name = 'LYS' AS basic, name = 'ALA' AS hydrophobic FROM components")(
+    lambda s: s.components.select("comp_idx", *[names.in_class(F.col("name"), kind).alias(alias) for kind, alias in (("water", "water"), ("amino_acid", "amino"), ("basic", "basic"), ("hydrophobic", "hydrophobic"))]))

@@ -54,5 +54,26 @@ def sql(body: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{SQL}{'' if body.lstrip().startswith('SELECT') else ','}\n{body}"
 
 
-def frame_zero(df: DataFrame) -> DataFrame:
-    return df.filter("frame = 0")
+# a chain of residues of five atoms over the same table: N, CA, C, O and HN, with a gap in the numbers after every ten
+PEPTIDE = (("N", "N", 7, 14.007, 1.55), ("CA", "C", 6, 12.011, 1.7), ("C", "C", 6, 12.011, 1.7), ("O", "O", 8, 15.999, 1.52), ("HN", "H", 1, 1.008, 1.2))
+RESIDUES = ("ALA", "GLY", "PRO", "LYS")
+
+
+def peptide(spark: SparkSession, sf_dir: str) -> System:
+    s = system(spark, sf_dir)
+    k, comp = (F.col("atom_idx") - 1) % 5, F.floor((F.col("atom_idx") - 1) / 5) + 1
+    atoms = s.atoms.select("atom_idx", _pick(k, [x[0] for x in PEPTIDE], "string").alias("type"), _pick(k, [x[1] for x in PEPTIDE], "string").alias("element"), _pick(k, [x[2] for x in PEPTIDE], "int").alias("z"),
+                           _pick(k, [x[3] for x in PEPTIDE], "double").alias("mass"), _pick(k, [x[4] for x in PEPTIDE], "double").alias("radius"), F.lit(0).alias("flags"), comp.cast("int").alias("comp_idx"))
+    c = F.col("comp_idx")
+    components = atoms.select("comp_idx").distinct().select("comp_idx", _pick(c % 4, RESIDUES, "string").alias("name"), (c + F.floor(c / 10)).cast("int").alias("seq_id"), F.lit(0x200).alias("flags"), F.lit(1).alias("inst_idx"))
+    instances = spark.createDataFrame([(1, "A", "A", 0x202)], "inst_idx int, id string, auth_id string, flags int")
+    hop = F.when(k == 0, F.array(F.lit(1), F.lit(4))).when(k == 1, F.array(F.lit(1))).when(k == 2, F.array(F.lit(1), F.lit(3))).otherwise(F.array().cast("array<int>"))
+    bonds = atoms.select(F.col("atom_idx").alias("i"), F.explode(hop).alias("h")).select("i", (F.col("i") + F.col("h")).alias("j"))
+    bonds = bonds.join(atoms.select(F.col("atom_idx").alias("j")), "j", "left_semi").select("i", "j")
+    return System(atoms, components, instances, bonds, s.trajectory, CELL)
+
+
+#: The same views for DuckDB: p_atoms, p_components, p_bonds.
+PEPTIDE_SQL = f"""p_atoms AS (SELECT vec_id + 1 AS atom_idx, {_case('vec_id % 5', [x[0] for x in PEPTIDE])} AS type, {_case('vec_id % 5', [x[2] for x in PEPTIDE])} AS z, vec_id // 5 + 1 AS comp_idx FROM embeddings),
+p_components AS (SELECT DISTINCT comp_idx, {_case('comp_idx % 4', RESIDUES)} AS name, comp_idx + comp_idx // 10 AS seq_id FROM p_atoms),
+p_bonds AS (SELECT i, j FROM (SELECT atom_idx AS i, atom_idx + unnest(CASE (atom_idx - 1) % 5 WHEN 0 THEN [1, 4] WHEN 1 THEN [1] WHEN 2 THEN [1, 3] ELSE []::INTEGER[] END) AS j FROM p_atoms) WHERE j IN (SELECT atom_idx FROM p_atoms))"""
