@@ -11,7 +11,7 @@ from orrery.functions import arrays as arr
 from orrery.functions import geometry as g
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
-from orrery.operators import spatial, structure
+from orrery.operators import spatial, structure, volumes
 from orrery.functions import names
 from orrery.functions import strings as st
 from orrery.functions import units
@@ -622,3 +622,48 @@ def _elements(s: System) -> DataFrame:
 
 _on_system("residue_classes", "SELECT comp_idx, name = 'SOL' AS water, name IN ('LYS', 'ALA') AS amino, name = 'LYS' AS basic, name = 'ALA' AS hydrophobic FROM components")(
     lambda s: s.components.select("comp_idx", *[names.in_class(F.col("name"), kind).alias(alias) for kind, alias in (("water", "water"), ("amino_acid", "amino"), ("basic", "basic"), ("hydrophobic", "hydrophobic"))]))
+
+
+# --- volumes -----------------------------------------------------------------------------------------------------------
+_VOXELS = "SELECT vec_id AS id, vec_id % 8 AS ix, vec_id // 8 % 8 AS iy, vec_id // 64 AS iz, embedding[1]::DOUBLE AS value FROM embeddings"
+
+
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.select(F.col("vec_id").alias("id"), F.expr("vec_id % 8").alias("ix"), F.expr("vec_id div 8 % 8").alias("iy"), F.expr("vec_id div 64").alias("iz"), F.col("embedding")[0].cast("double").alias("value"))
+
+
+_MANIFOLDS = "WITH RECURSIVE v AS ({voxels}), s AS (SELECT a.id, arg_{f}(b.id, (b.value, b.id)) AS nxt FROM v a JOIN v b ON abs(a.ix - b.ix) <= 1 AND abs(a.iy - b.iy) <= 1 AND abs(a.iz - b.iz) <= 1 GROUP BY a.id), w AS (SELECT id, nxt FROM s UNION SELECT w.id, s.nxt FROM w JOIN s ON s.id = w.nxt), m AS (SELECT w.id, w.nxt AS top FROM w JOIN s ON s.id = w.nxt AND s.nxt = w.nxt) "
+for _name, _f, _rising in (("manifold_ascending", "max", True), ("manifold_descending", "min", False)):
+    QUERIES[_name] = lambda spark, sf_dir, rising=_rising: volumes.manifolds(_voxels(spark, sf_dir), rising)
+    ORACLE_SQL[_name] = _MANIFOLDS.format(voxels=_VOXELS, f=_f) + "SELECT id, top FROM m"
+QUERIES["extremum_sizes"] = lambda spark, sf_dir: volumes.extrema(_voxels(spark, sf_dir)).filter("kind = 'maximum'").select("id", "size")
+ORACLE_SQL["extremum_sizes"] = _MANIFOLDS.format(voxels=_VOXELS, f="max") + "SELECT top AS id, count(*) AS size FROM m GROUP BY top"
+
+
+@_on_system("gto_at_points", f"""o AS (SELECT x, y, z, 0.5 + atom_idx % 7 / 10.0::DOUBLE AS coeff, 0.2 + atom_idx % 3 / 2.0::DOUBLE AS alpha, atom_idx % 3 AS i, atom_idx % 2 AS j, atom_idx % 5 // 4 AS k, 2.0 + atom_idx % 2 AS cutoff FROM traj WHERE frame = 0),
+q AS (SELECT atom_idx AS point, x, y, z FROM traj WHERE frame = 1)
+SELECT point, round(coalesce(sum(coeff * pow(q.x - o.x, i) * pow(q.y - o.y, j) * pow(q.z - o.z, k) * exp(-alpha * ((q.x - o.x)**2 + (q.y - o.y)**2 + (q.z - o.z)**2))), 0), {_R}) AS value
+FROM q LEFT JOIN o ON (q.x - o.x)**2 + (q.y - o.y)**2 + (q.z - o.z)**2 <= cutoff * cutoff GROUP BY point""")
+def _gto(s: System) -> DataFrame:
+    n = F.col("atom_idx")
+    o = s.trajectory.filter("frame = 0").select("x", "y", "z", (0.5 + n % 7 / 10.0).alias("coeff"), (0.2 + n % 3 / 2.0).alias("alpha"), (n % 3).alias("i"), (n % 2).alias("j"), F.expr("atom_idx % 5 div 4").alias("k"), (2.0 + n % 2).alias("cutoff"))
+    return volumes.evaluate(s.trajectory.filter("frame = 1").select(n.alias("point"), "x", "y", "z"), o).select("point", F.round("value", _R).alias("value"))
+
+
+def _centre_sql(c: str) -> str:
+    k = f"(2 * pi() / {_L})"
+    m = f"atan2(sum(sin({c} * {k}) * radius), sum(cos({c} * {k}) * radius)) / {k}"
+    return f"{m} - {_L} * floor({m} / {_L}) AS c{c}"
+
+
+@_on_system("porosity", f"""q AS (SELECT frame, t.x, t.y, t.z, radius FROM traj t JOIN atoms a ON t.atom_idx = a.atom_idx WHERE element = 'C'), c AS (SELECT frame, {", ".join(map(_centre_sql, "xyz"))} FROM q GROUP BY frame),
+p AS (SELECT q.frame, {", ".join(f"c{c} + {_mi(f'({c} - c{c})')} AS {c}" for c in "xyz")}, radius AS r FROM q JOIN c ON q.frame = c.frame),
+b AS (SELECT frame, {", ".join(f"min({c} - r) AS l{c}, greatest(1.0, max({c} + r) - min({c} - r)) AS e{c}" for c in "xyz")} FROM p GROUP BY frame),
+g AS (SELECT *, greatest(ex, ey, ez) / 48 AS v FROM b), h AS (SELECT *, {", ".join(f"ceil(round(e{c} / v, 9))::BIGINT AS n{c}" for c in "xyz")} FROM g),
+near AS (SELECT p.*, h.* EXCLUDE (frame), {", ".join(f"unnest(range(greatest(0, floor(({c} - r - l{c}) / v)::BIGINT - 1), least(n{c}, floor(({c} + r - l{c}) / v)::BIGINT + 2))) AS ix" if c == "x" else f"range(greatest(0, floor(({c} - r - l{c}) / v)::BIGINT - 1), least(n{c}, floor(({c} + r - l{c}) / v)::BIGINT + 2)) AS r{c}" for c in "xyz")} FROM p JOIN h ON p.frame = h.frame),
+n2 AS (SELECT *, unnest(ry) AS iy FROM near), n3 AS (SELECT *, unnest(rz) AS iz FROM n2),
+f AS (SELECT frame, count(DISTINCT (ix, iy, iz)) AS full_n FROM n3 WHERE {" + ".join(f"(l{c} + (i{c} + 0.5) * v - {c})**2" for c in "xyz")} <= r * r GROUP BY frame)
+SELECT h.frame::INTEGER AS frame, round(1 - full_n / (nx * ny * nz), {_R}) AS value FROM h JOIN f ON h.frame = f.frame""")
+def _porosity(s: System) -> DataFrame:
+    return volumes.porosity(s, sel.atoms(s, F.col("element") == "C"), 48).select(F.col("frame").cast("int"), F.round("value", _R).alias("value"))
