@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +186,11 @@ def unwrap(s: System) -> DataFrame:
     return t.select("frame", "atom_idx", *[(F.col(c) + F.col("to")[f"s{c}"] * float(n)).alias(c) for c, n in zip("xyz", s.cell, strict=True)])
 
 
+def whole(s: System) -> System:
+    """The system with whole structures, as superposition and spatial distributions want them; written once by checkpoint()."""
+    return replace(s, trajectory=unwrap(s).checkpoint())
+
+
 def numbered(df: DataFrame, *keys: str, name: str = "position") -> DataFrame:
     """Rows with their place in the order of the keys, from 0, without one task that sorts them all.
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from orrery import schema
 from orrery.operators import selection as sel
-from orrery.operators import spatial
+from orrery.operators import spatial, structure
 from orrery.schema import System
 
 _TOKENS = re.compile(r"\s*(?:#[^\n]*\s*)*(?:(?P<number>(?:\d+\.\d*|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<word>[A-Za-z_]\w*)|(?P<string>'[^']*'|\"[^\"]*\")|(?P<sign>//|<=|>=|==|!=|[-+*/<>=(),:;{}\[\]]))")
@@ -296,6 +296,9 @@ class _Planner:
             return self.one(self.plan(args[0]))
         if name == "all":
             return self.one(self.universe)
+        if name == "ring":  # what the context holds of each ring
+            found = structure.numbered(structure.rings(self.s), "ring", name="group_id")
+            return found.select(F.col("group_id").cast("long"), F.explode("ring").alias(sel.KEY)).join(self.universe, sel.KEY).select("ctx", "group_id", sel.KEY)
         if name in _FLAGGED:
             return self.one(self.rows().filter(F.col("flags").bitwiseAND(_FLAGGED[name]) != 0))
         if name in _COMPONENTS:

@@ -23,7 +23,7 @@ from orrery.functions import geometry as g
 from orrery.functions import scalars
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
-from orrery.operators import superposition
+from orrery.operators import superposition, volumes
 from orrery.plans.language import Call, LanguageError, Range, _Planner, parse_script
 from orrery.schema import System
 
@@ -60,7 +60,7 @@ class Selection:
 
 Value = Number | Field | Selection | str | Range
 #: Names whose calls are selections.
-SELECTORS = frozenset("all ion backbone side sidechain nucleoside nucleobase type name label element atom protein nucleic nucleotide water resname residue component resid instance auth_id "
+SELECTORS = frozenset("all ring ion backbone side sidechain nucleoside nucleobase type name label element atom protein nucleic nucleotide water resname residue component resid instance auth_id "
                       "chain_id chain within_x within_y within_z within_xyz within join split".split())
 
 
@@ -507,6 +507,11 @@ class _Evaluator:
     def do_rmsd(self, ctx, e) -> Number:
         return self.keyed(superposition.rmsd(self.points(e, ctx), ("ctx",)), ctx)
 
+    def do_porosity(self, ctx, e) -> Number:
+        if ctx is not None:
+            raise LanguageError("porosity stands outside of contexts")
+        return self.keyed(volumes.porosity(self.s, self.selection(e, ctx).df.select(sel.KEY).distinct()), ctx)
+
     def do_rdf(self, ctx, a, b, radius) -> Field:
         if ctx is not None:
             raise LanguageError("rdf stands outside of contexts")

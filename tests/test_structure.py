@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import names
 from orrery.operators import structure
+from orrery.plans import language, script
 from orrery.schema import System
 
 
@@ -73,3 +74,23 @@ def test_numbered(spark):
     df = spark.range(0, 1000).select((F.col("id") * 7919 % 1000 / 10).cast("int").alias("k"), "id")
     rows = structure.numbered(df, "k", "id").orderBy("position").collect()
     assert [r.position for r in rows] == list(range(1000)) and [(r.k, r.id) for r in rows] == sorted((r.k, r.id) for r in rows)
+
+
+def test_rings_in_the_language(spark):
+    s = _system(spark, [(1, 2), (2, 3), (3, 1), (3, 4), (4, 5), (5, 6), (6, 7), (7, 4), (7, 8)], 8)
+    groups: dict[int, set] = {}
+    for r in language.select(s, "ring").collect():
+        groups.setdefault(r.group_id, set()).add(r.atom_idx)
+    assert sorted(map(sorted, groups.values())) == [[1, 2, 3], [4, 5, 6, 7]]
+    assert {r.atom_idx for r in language.filter_atoms(s, "not ring").collect()} == {8}
+    assert {r.atom_idx for r in language.filter_atoms(s, "ring and atom(3:8)").collect()} == {3, 4, 5, 6, 7}
+    assert script.table(script.run(s, "v = count(ring)")["v"], spark).first()["value"] == 7
+
+
+def test_porosity_of_a_script_and_whole_systems(spark):
+    s = _system(spark, [(i, i + 1) for i in range(1, 9)], 9)
+    one = script.table(script.run(s, "v = porosity(atom(1))")["v"], spark).first()["value"]
+    assert one == pytest.approx(1 - 3.141592653589793 / 6, abs=1e-4)
+    assert [r.x for r in structure.whole(s).trajectory.orderBy("atom_idx").collect()] == [3.0 * i for i in range(9)]
+    with pytest.raises(language.LanguageError):
+        script.run(s, "v = porosity(all) in residue(:)")
