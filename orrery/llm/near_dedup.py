@@ -18,8 +18,9 @@ buckets, then with the least members of the buckets where it lies in another com
 n comparisons.  Buckets whose members then still lie in several components are compared exhaustively: each member outside the
 component of the bucket's least one with all members of other components, in the first bucket that both share, where their
 words do not differ too much for the similarity: each word, with the number of its use, sets one of BITS bits, and each bit
-that only one text has takes an edit.  So every pair that shares a tuple is either compared or already joined, or cannot be
-alike, and no cap drops any.  Texts that share a long passage and little else meet in such a bucket pair by pair; the bits
+that only one text has takes an edit.  Words of long texts often meet in a bit, so pairs that pass are counted again by the
+uses of their words among USES.  So every pair that shares a tuple is either compared or already joined, or cannot be alike,
+and no cap drops any.  Texts that share a long passage and little else meet in such a bucket pair by pair; bits and uses
 refuse most of these pairs within the join.
 """
 
@@ -44,6 +45,8 @@ K, SIMILARITY = 5, 0.8
 SKETCHES, LENGTH = 80, 2
 #: Bits by hash that a text's words set.
 BITS = 2048
+#: Values by hash that the uses of words have; one takes two bytes.
+USES = 2**16
 _WORDS = re.compile(r"\w+").findall
 _MIX = np.random.default_rng(20240501).integers(1, 2**31, size=(2, SKETCHES), dtype=np.uint32) | np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -124,6 +127,11 @@ def bits(h: np.ndarray) -> np.ndarray:
     return np.packbits(out).view(np.int64)
 
 
+def uses(h: np.ndarray) -> np.ndarray:
+    """What ``bits`` says, of USES bits, as the numbers of those set."""
+    return np.unique((kmers(h, 1) % np.uint64(USES)).astype(np.uint16)).view(np.int16)
+
+
 @lru_cache(maxsize=64)
 def _counted(text: str) -> tuple[list[str], Counter]:
     found = words(text)
@@ -197,6 +205,12 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int32()), pa.array(bags, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "key", "n", "bits", "sketch"])
 
 
+def _used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = _Hashes()
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([uses(hashes.of(words(t.as_py()))) for t in b.column(1)], pa.list_(pa.int16()))], names=["vid", "uses"])
+
+
 def _verify(least: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,14 +310,17 @@ def classify(spark: SparkSession, docs: DataFrame, scratch: Scratch, id_col: str
     placed = scratch.save(placed.join(main, "sig"), "apart")
     scratch.drop("placed", "buckets")
     low = lambda c: c.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")
-    sketches = placed.select("vid").distinct().join(nodes.select("vid", "bits", F.transform("sketch", low).alias("sketch")), "vid")
+    left = placed.select("vid").distinct()
+    used = texts.join(left, "vid", "left_semi").mapInArrow(_used, "vid long, uses array<smallint>").groupBy("vid").agg(F.any_value("uses").alias("uses"))
+    sketches = left.join(nodes.select("vid", "bits", F.transform("sketch", low).alias("sketch")), "vid").join(used, "vid")
     placed = scratch.save(placed.join(sketches, "vid"), "apart-sketched")
     scratch.drop("apart")
-    a = placed.filter("comp <> main").select("sig", F.col("vid").alias("a"), "n", F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("bits").alias("ba"))
-    b = placed.select(F.col("sketch").alias("kb"), F.col("bits").alias("bb"), F.col("sig").alias("s2"), F.col("vid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
+    a = placed.filter("comp <> main").select("sig", F.col("vid").alias("a"), "n", F.col("comp").alias("ca"), F.col("sketch").alias("ka"), F.col("bits").alias("ba"), F.col("uses").alias("ua"))
+    b = placed.select(F.col("sketch").alias("kb"), F.col("bits").alias("bb"), F.col("uses").alias("ub"), F.col("sig").alias("s2"), F.col("vid").alias("b"), F.col("n").alias("m"), F.col("comp").alias("cb"), (F.col("comp") == F.col("main")).alias("in_main"))
     tuples = F.filter(F.zip_with("ka", "kb", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())
     once = F.get(tuples, F.lit(0)) == low(F.col("sig"))  # in the first of the pair's buckets only
-    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & near & once), "rest", unseen=False)
+    alone = F.greatest(F.size("ua") + F.greatest(F.col("m") - F.col("n"), F.lit(0)), F.size("ub") + F.greatest(F.col("n") - F.col("m"), F.lit(0))) - F.size(F.array_intersect("ua", "ub"))
+    more = verified(a.join(b, (a["sig"] == b["s2"]) & (a["ca"] != b["cb"]) & (b["in_main"] | (a["a"] < b["b"])) & like & near & once & (alone <= room)), "rest", unseen=False)
     scratch.drop("apart-sketched", "texts", "wanted")
     links, comp = links.union(more), merged(comp, more, scratch, "comp")
     degree = links.select(F.col("a").alias("vid")).union(links.select(F.col("b").alias("vid"))).groupBy("vid").agg(F.count("*").alias("links"))

@@ -6,7 +6,7 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -337,6 +337,41 @@ def test_bits():
         assert alone + max(0, len(b) - len(a)) <= near_dedup._banded(a, b, 100)
 
 
+def test_uses():
+    for _ in range(200):
+        a = [random.choice("abcdefgh") for _ in range(random.randint(1, 40))]
+        b = [random.choice("abcdefgh") for _ in range(random.randint(1, 40))] if random.random() < 0.5 else [x if random.random() < 0.9 else "z" for x in a]
+        x, y = (set(near_dedup.uses(near_dedup._Hashes().of(t)).tolist()) for t in (a, b))
+        assert len(x - y) + max(0, len(b) - len(a)) <= near_dedup._banded(a, b, 100)
+
+
+def test_near_long_passage(spark, monkeypatch):
+    """Long texts that share most of their words are refused in the join, unless their uses of words allow a link."""
+    rng = random.Random(23)
+    passage, own = ["is", "onhe"] * 290, lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    texts = [own(60) + passage + own(110) for _ in range(40)]
+    for t in texts[:5]:
+        texts.append([w if w in ("is", "onhe") or i % 2 else f"v{rng.randrange(10**9)}" for i, w in enumerate(t)])
+    count = len(texts)
+    counted = [Counter(t) for t in texts]
+    likely = sum((counted[i] - counted[j]).total() <= 0.2 * 750 + 10 for i in range(count) for j in range(i))
+    linked = [(j, i) for i in range(count) for j in range(i) if near_dedup.edit_similarity(texts[i], texts[j]) >= 0.8]
+    compared = {}
+
+    class Counting(near_dedup.Scratch):
+        def save(self, df, name):
+            saved = super().save(df, name)
+            compared[name] = saved.count() if name.endswith("-pairs") else None
+            return saved
+
+    monkeypatch.setattr(near_dedup, "Scratch", Counting)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    by = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark, docs).collect()}
+    assert linked == [(i, 40 + i) for i in range(5)] and likely == 5
+    assert compared["rest-pairs"] <= likely
+    assert [by[i] for i in range(count)] == [*range(40), *range(5)]
+
+
 def _discovered(texts, min_seeds=5, min_confidence=0.9, rounds=3):
     """The spans of ``pii``, worked out row by row: letter runs are cut at matches of the same kind."""
     space, letters = " \t-\r", regex.compile(r"\p{L}+")
