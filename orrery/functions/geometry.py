@@ -16,8 +16,20 @@ def vec(prefix: str = "") -> Vec:
     return F.col(f"{prefix}x"), F.col(f"{prefix}y"), F.col(f"{prefix}z")
 
 
+def nearest(x: Column) -> Column:
+    """The nearest whole number, of two the one further from 0: as round(), which goes by way of decimals and is slow."""
+    a = F.abs(x)
+    return F.signum(x) * (F.rint(a) + F.when(a - F.rint(a) == 0.5, 1.0).otherwise(0.0))
+
+
 def min_image(d: Column, length: float) -> Column:
-    return d - F.lit(length) * F.round(d / F.lit(length)) if length else d
+    return d - F.lit(length) * nearest(d / F.lit(length)) if length else d
+
+
+def distance2(a: Vec, b: Vec, cell: Sequence[float] = (0, 0, 0)) -> Column:
+    """Squared, by the shortest image; of two that are as short, either."""
+    d = tuple(q - p - F.lit(n) * F.rint((q - p) / F.lit(n)) if n else q - p for p, q, n in zip(a, b, cell, strict=True))
+    return dot(d, d)
 
 
 def delta(a: Vec, b: Vec, cell: Sequence[float] = (0, 0, 0)) -> Vec:

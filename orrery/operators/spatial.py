@@ -17,13 +17,16 @@ from pyspark.sql import functions as F
 from orrery.functions import geometry as g
 
 
+SLACK = 1 + 1e-9  # cells are that much wider than the cutoff, as differences of coordinates are rounded
+
+
 def _count(length: float, cutoff: float) -> int:
-    return max(1, int(length // cutoff)) if length else 0
+    return max(1, int(length // (cutoff * SLACK))) if length else 0
 
 
 def _axis_cell(axis: str, length: float, cutoff: float) -> Column:
     n = _count(length, cutoff)
-    return F.least(F.floor(g.wrap(F.col(axis), length) / (length / n)), F.lit(n - 1)) if length else F.floor(F.col(axis) / cutoff)
+    return F.least(F.floor(g.wrap(F.col(axis), length) / (length / n)), F.lit(n - 1)) if length else F.floor(F.col(axis) / (cutoff * SLACK))
 
 
 def _celled(df: DataFrame, cutoff: float, cell: Sequence[float]) -> DataFrame:
@@ -49,14 +52,14 @@ def range_join(left: DataFrame, right: DataFrame, cutoff: float, cell: Sequence[
     half = ordered and all(_count(length, cutoff) not in (1, 2) for length in cell)
     a = _spread(_celled(left.select("frame", F.col("atom_idx").alias("i"), "x", "y", "z"), cutoff, cell), cutoff, cell, half)
     b = _celled(right.select("frame", F.col("atom_idx").alias("j"), "x", "y", "z"), cutoff, cell).withColumnsRenamed({"x": "x2", "y": "y2", "z": "z2"})
-    d = g.delta(g.vec(), (F.col("x2"), F.col("y2"), F.col("z2")), cell)
+    d2 = g.distance2(g.vec(), (F.col("x2"), F.col("y2"), F.col("z2")), cell)
     pairs = a.join(b, ["frame", "_a", "_b", "_c"])
     if half:
         pairs = pairs.filter("NOT _same OR i < j")
     else:
         pairs = pairs.filter("i < j" if ordered else "i <> j")
     i, j = (F.least("i", "j"), F.greatest("i", "j")) if half else (F.col("i"), F.col("j"))
-    return pairs.select("frame", i.alias("i"), j.alias("j"), g.dot(d, d).alias("d2")).filter(F.col("d2") <= cutoff * cutoff)
+    return pairs.select("frame", i.alias("i"), j.alias("j"), d2.alias("d2")).filter(F.col("d2") <= cutoff * cutoff)
 
 
 def triclinic_join(left: DataFrame, right: DataFrame, cutoff: float, matrix: Sequence[Sequence[float]]) -> DataFrame:
@@ -65,13 +68,13 @@ def triclinic_join(left: DataFrame, right: DataFrame, cutoff: float, matrix: Seq
     volume = ax * by * cz
     faces = [math.hypot(by * cz, cz * bx, bx * cy - by * cx), math.hypot(0.0, ax * cz, ax * cy), ax * by]
     heights = [volume / f for f in faces]
-    counts = tuple(max(1, int(h // cutoff)) for h in heights)
+    counts = tuple(max(1, int(h // (cutoff * SLACK))) for h in heights)
 
     def placed(df: DataFrame, name: str) -> DataFrame:
         f = g.fractional(g.vec(), matrix)
         return df.select("frame", F.col("atom_idx").alias(name), "x", "y", "z", *[F.least(F.floor((u - F.floor(u)) * n), F.lit(n - 1)).alias(f"_{c}") for u, n, c in zip(f, counts, "abc", strict=True)])
 
-    cutoffs = tuple(float(n) for n in counts)  # lengths of n cells of width 1
+    cutoffs = tuple(n * SLACK * SLACK for n in counts)  # lengths of n cells of width 1
     a = _spread(placed(left, "i"), 1.0, cutoffs, False)
     b = placed(right, "j").withColumnsRenamed({"x": "x2", "y": "y2", "z": "z2"})
     pairs = a.join(b, ["frame", "_a", "_b", "_c"]).filter("i <> j")
