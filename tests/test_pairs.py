@@ -84,3 +84,11 @@ def test_extreme(spark, cell, largest):
 def test_extremes_make_no_pairs(spark):
     for name in ("distance_max_whole", "distance_min_whole"):
         assert "CoGroup" in _plan(catalog.QUERIES[name](spark, DATA)), name
+
+
+@pytest.mark.parametrize("cell", [CELL, (0.0, 0.0, 0.0), (10.0, 7.0, 30.0), (4.0, 4.0, 4.0)])
+@pytest.mark.parametrize("cutoff", [1.0, 3.3])
+def test_count_pairs(spark, cell, cutoff):
+    rows = _cloud(120, 4) + [(2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, cutoff)]
+    want = Counter(p[0] for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and _d2(p, q, cell) <= cutoff * cutoff)
+    assert dict(map(tuple, pairs.count_pairs(_frame(spark, rows), cutoff, cell).collect())) == want
