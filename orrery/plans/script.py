@@ -21,6 +21,7 @@ from pyspark.sql.types import ArrayType, DataType, IntegralType
 from orrery.functions import arrays as arr
 from orrery.functions import geometry as g
 from orrery.functions import scalars
+from orrery.operators import pairs as pairwise
 from orrery.operators import properties as p
 from orrery.operators import selection as sel
 from orrery.operators import superposition, volumes
@@ -40,6 +41,7 @@ class Number:
     whole: bool = False
     df: DataFrame | None = None
     keys: tuple[str, ...] = ()
+    extreme: Callable[[bool], Number] | None = None  # the least or greatest of all rows, without the rows
 
 
 @dataclass(frozen=True)
@@ -409,6 +411,8 @@ class _Evaluator:
         if not vs or not all(isinstance(v, Number) for v in vs):
             raise LanguageError(f"no such function for these arguments: {name}")
         if len(vs) == 1 and name in ("min", "max") and (vs[0].depth or "i" in vs[0].keys):
+            if vs[0].extreme:
+                return vs[0].extreme(name == "max")
             v = self.flatten_number(vs[0])
             if "i" not in v.keys:
                 return self.apply(F.array_min if name == "min" else F.array_max, v, whole=v.whole, depth=0)
@@ -445,18 +449,20 @@ class _Evaluator:
         x, y = (p.prefixed(self.centre(e, ctx), n, ("frame", "ctx")) for e, n in ((a, "a"), (b, "b")))
         return self.keyed(x.join(y, ["frame", "ctx"]).withColumn("value", g.norm(g.delta(g.vec("a"), g.vec("b"), self.s.cell))), ctx)
 
-    def _pairs(self, ctx, a, b) -> DataFrame:
-        x, y = (p.prefixed(self.positions(e, ctx), n, ("frame", "ctx"), ("k",)) for e, n in ((a, "a"), (b, "b")))
-        return x.join(y, ["frame", "ctx"]).withColumn("value", g.norm(g.delta(g.vec("a"), g.vec("b"), self.s.cell)))
-
     def do_distance_pair(self, ctx, a, b) -> Number:
-        return self.ordered(self._pairs(ctx, a, b), ctx, "ak", "bk")
+        points = [self.positions(e, ctx) for e in (a, b)]
+        x, y = (p.prefixed(t, n, ("frame", "ctx"), ("k",)) for t, n in zip(points, "ab", strict=True))
+        both = x.join(y, ["frame", "ctx"]).withColumn("value", F.sqrt(g.distance2(g.vec("a"), g.vec("b"), self.s.cell)))
+        return replace(self.ordered(both, ctx, "ak", "bk"), extreme=lambda largest: self._extreme(ctx, *points, largest))
+
+    def _extreme(self, ctx, x: DataFrame, y: DataFrame, largest: bool) -> Number:
+        return self.keyed(pairwise.extreme(x, y, self.s.cell, largest, ("frame", "ctx")), ctx)
 
     def do_distance_min(self, ctx, a, b) -> Number:
-        return self.keyed(self._pairs(ctx, a, b).groupBy("frame", "ctx").agg(F.min("value").alias("value")), ctx)
+        return self._extreme(ctx, self.positions(a, ctx), self.positions(b, ctx), False)
 
     def do_distance_max(self, ctx, a, b) -> Number:
-        return self.keyed(self._pairs(ctx, a, b).groupBy("frame", "ctx").agg(F.max("value").alias("value")), ctx)
+        return self._extreme(ctx, self.positions(a, ctx), self.positions(b, ctx), True)
 
     def _joined(self, ctx, es) -> DataFrame:
         sides = [p.prefixed(self.centre(e, ctx), n, ("frame", "ctx")) for e, n in zip(es, "abcd", strict=False)]

@@ -92,3 +92,16 @@ def test_count_pairs(spark, cell, cutoff):
     rows = _cloud(120, 4) + [(2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, cutoff)]
     want = Counter(p[0] for p in rows for q in rows if p[0] == q[0] and p[1] < q[1] and _d2(p, q, cell) <= cutoff * cutoff)
     assert dict(map(tuple, pairs.count_pairs(_frame(spark, rows), cutoff, cell).collect())) == want
+
+
+def test_script_extreme_of_pairs(spark):
+    """The least of all distances needs no rows of them; what is done with rows still has them."""
+    s = _system(spark, _cloud(40, 5))
+    v = script.run(s, "d = distance_pair(atom(1:10), atom(11:40)); a = min(d); b = max(d); c = min(d * 2);")
+    a, b, c = (dict((r.frame, r.value) for r in script.table(v[n]).collect()) for n in "abc")
+    d = script.table(v["d"]).collect()
+    assert len(d) == 2 * 10 * 30
+    for f in (0, 1):
+        each = [r.value for r in d if r.frame == f]
+        assert (a[f], b[f], c[f]) == pytest.approx((min(each), max(each), 2 * min(each)), abs=1e-12)
+    assert "CoGroup" in _plan(script.table(v["a"])) and "CoGroup" not in _plan(script.table(v["c"]))
