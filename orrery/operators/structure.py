@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 from orrery.functions import names
-from orrery.operators import properties, spatial
+from orrery.operators import pairs, properties
 from orrery.schema import AMINO_ACID, BACKBONE, HETERO, ION, NUCLEOTIDE, POLYMER, SIDE_CHAIN, WATER, System
 
 # fixed values: labels of the atoms of a residue's backbone
@@ -144,15 +144,9 @@ def hydrogen_bonds(s: System, reach: float = 3.0, degrees: float = 150.0) -> Dat
     d, a = donors(s), acceptors(s)
     at_donor = s.trajectory.join(d.select(F.col("donor").alias("atom_idx")).distinct(), "atom_idx", "left_semi")
     at_acceptor = s.trajectory.join(a.select(F.col("acceptor").alias("atom_idx")), "atom_idx", "left_semi")
-    pairs = spatial.range_join(at_donor, at_acceptor, reach, s.cell).select("frame", F.col("i").alias("donor"), F.col("j").alias("acceptor")).join(d, "donor")
-    for prefix, key in (("d", "donor"), ("h", "hydrogen"), ("a", "acceptor")):
-        pairs = pairs.join(properties.prefixed(s.trajectory.withColumnRenamed("atom_idx", key), prefix, ["frame", key]), ["frame", key])
-    u, v = g.delta(g.vec("h"), g.vec("d"), s.cell), g.delta(g.vec("h"), g.vec("a"), s.cell)
-    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), g.dot(u, v) / (g.norm(u) * g.norm(v)))))
-    pairs = pairs.withColumns({"_angle": angle, "_far": g.norm(v)}).filter((F.col("_angle") > math.radians(degrees)) & (F.col("_far") > 0))
-    pairs = pairs.withColumn("score", F.round(F.cos(math.pi - F.col("_angle")) / F.col("_far"), 9))
-    best = pairs.groupBy("frame", "donor", "hydrogen").agg(F.max(F.struct("score", (-F.col("acceptor")).alias("_a"))).alias("_b"))
-    best = best.select("frame", "donor", "hydrogen", (-F.col("_b._a")).alias("acceptor"), F.col("_b.score").alias("score")).filter("score > 0").join(a, "acceptor")
+    at_hydrogen = properties.prefixed(s.trajectory.withColumnRenamed("atom_idx", "hydrogen"), "h", ["frame", "hydrogen"])
+    at_donor = at_donor.join(d.withColumnRenamed("donor", "atom_idx"), "atom_idx").join(at_hydrogen, ["frame", "hydrogen"])
+    best = pairs.best_acceptors(at_donor, at_acceptor, reach, degrees, s.cell).filter("score > 0").join(a, "acceptor")
     rank = F.row_number().over(Window.partitionBy("frame", "acceptor").orderBy(F.desc("score"), "hydrogen", "donor"))
     return best.withColumn("_r", rank).filter("_r <= pairs").select("frame", "donor", "hydrogen", "acceptor", "score")
 

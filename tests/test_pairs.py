@@ -105,3 +105,35 @@ def test_script_extreme_of_pairs(spark):
         each = [r.value for r in d if r.frame == f]
         assert (a[f], b[f], c[f]) == pytest.approx((min(each), max(each), 2 * min(each)), abs=1e-12)
     assert "CoGroup" in _plan(script.table(v["a"])) and "CoGroup" not in _plan(script.table(v["c"]))
+
+
+def test_hydrogen_bonds(spark):
+    """Against all donors, hydrogens and acceptors; ties and what an acceptor has no room for as told."""
+    import math
+
+    rows = _cloud(80, 6)
+    z = (7, 1, 8, 6)  # of atoms 4 k, 4 k + 1, 4 k + 2, 4 k + 3
+    bonds = [(i, i + 1) for i in range(4, 77, 4)]
+    s = _system(spark, rows, z, bonds)
+    at = {r[:2]: r for r in rows}
+    image = lambda p, q: [d - n * round(d / n) if n else d for d, n in ((b - a, n) for a, b, n in zip(p[2:5], q[2:5], CELL, strict=True))]
+    best = {}
+    for f in (0, 1):
+        for i, h in bonds:
+            found = []
+            for k in range(1, 81):
+                if z[k % 4] in (7, 8) and k != i and _d2(at[f, i], at[f, k]) <= 25.0:
+                    u, v = image(at[f, h], at[f, i]), image(at[f, h], at[f, k])
+                    far = math.hypot(*v)
+                    angle = math.acos(max(-1.0, min(1.0, sum(a * b for a, b in zip(u, v, strict=True)) / (math.hypot(*u) * far))))
+                    if angle > math.radians(120):
+                        found.append((-round(math.cos(math.pi - angle) / far, 9), k))
+            if found:
+                score, k = min(found)
+                best.setdefault((f, k), []).append((score, h, i))
+    want = sorted((f, i, h, k, -score) for (f, k), rows in best.items() for score, h, i in sorted(rows)[:2])
+    got = structure.hydrogen_bonds(s, 5.0, 120.0)
+    found = sorted(map(tuple, got.collect()))
+    assert [r[:4] for r in found] == [r[:4] for r in want] and want
+    assert [r[4] for r in found] == pytest.approx([r[4] for r in want], abs=2e-9)
+    assert "CoGroup" in _plan(got)
