@@ -137,3 +137,15 @@ def test_hydrogen_bonds(spark):
     assert [r[:4] for r in found] == [r[:4] for r in want] and want
     assert [r[4] for r in found] == pytest.approx([r[4] for r in want], abs=2e-9)
     assert "CoGroup" in _plan(got)
+
+
+@pytest.mark.parametrize("low", [0.0, 2.0])
+def test_rdf(spark, low):
+    """Distances count as rounded, as in the SQL: also one that is rounded down to the last."""
+    rows = _cloud(100, 7) + [(2, 1, 0.0, 0.0, 0.0), (2, 2, 0.0, 0.0, 4.0000000002)]
+    a, b = ([r for r in rows if (r[1] % 2 == 0) == side] for side in (True, False))
+    d = [(p[0], round(_d2(p, q) ** 0.5, 9)) for p in a for q in b if p[0] == q[0]]
+    start, width = max(low, 1e-3), (4.0 - low) / 64
+    want = Counter((f, min(int((x - start) / width), 63)) for f, x in d if start <= x <= 4.0)
+    assert want[2, 63] == 1
+    assert {(r.frame, r.bin): r.n for r in properties.rdf(_frame(spark, a), _frame(spark, b), CELL, 4.0, low, 64).collect()} == want
