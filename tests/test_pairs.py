@@ -149,3 +149,9 @@ def test_rdf(spark, low):
     want = Counter((f, min(int((x - start) / width), 63)) for f, x in d if start <= x <= 4.0)
     assert want[2, 63] == 1
     assert {(r.frame, r.bin): r.n for r in properties.rdf(_frame(spark, a), _frame(spark, b), CELL, 4.0, low, 64).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["rdf_weights", "script_field_arith"])
+def test_weighted_rdf_counts_once(spark, name):
+    """Weights come from the counts of the same pass over the pairs."""
+    assert _plan(catalog.QUERIES[name](spark, DATA)).count("CoGroup") == 1
