@@ -155,3 +155,24 @@ def test_rdf(spark, low):
 def test_weighted_rdf_counts_once(spark, name):
     """Weights come from the counts of the same pass over the pairs."""
     assert _plan(catalog.QUERIES[name](spark, DATA)).count("CoGroup") == 1
+
+
+def test_contacts(spark):
+    """By group, without shared atoms and those some bonds away from them; the plan grows with the hops, not with their power."""
+    rows, bonds = _cloud(100, 8), [(i, i + 1) for i in range(1, 60)]
+    s = _system(spark, rows, bonds=bonds)
+    groups = {1: set(range(1, 21)), 2: set(range(15, 41))}
+    second = set(range(18, 24)) | set(range(60, 100))
+    a = _frame(spark, rows).join(spark.createDataFrame([(k, i) for k, v in groups.items() for i in v], "group_id long, atom_idx long"), "atom_idx")
+    b = _frame(spark, [r for r in rows if r[1] in second])
+    want = Counter()
+    for k, own in groups.items():
+        out = own & second
+        for _ in range(2):
+            out |= {j for i in out for p in bonds if i in p for j in p}
+        for p in rows:
+            if p[1] in own:
+                want[p[0], k] += sum(q[0] == p[0] and q[1] in second - out - {p[1]} and _d2(p, q) <= 9.0 for q in rows)
+    found = properties.contacts(s, a, b, 3.0, 2)
+    assert {(r.frame, r.group_id): r.n for r in found.collect()} == {k: n for k, n in want.items() if n}
+    assert len(_plan(properties.contacts(s, a, b, 3.0, 8))) < 4 * len(_plan(properties.contacts(s, a, b, 3.0, 4)))
