@@ -86,6 +86,15 @@ def test_extremes_make_no_pairs(spark):
         assert "CoGroup" in _plan(catalog.QUERIES[name](spark, DATA)), name
 
 
+def test_distance_pairs_in_parts(spark):
+    """The pairs of a frame are dealt out, not made by one task."""
+    rows = _cloud(30, 3)
+    a, b = _frame(spark, rows[:20]), _frame(spark, rows[20:])
+    one, many = (sorted(map(tuple, properties.distance_pairs(a, b, CELL, n).collect())) for n in (1, 16))
+    assert one == many and len(one) == sum(p[0] == q[0] for p in rows[:20] for q in rows[20:])
+    assert "_part" in _plan(catalog.QUERIES["distance_pair_whole"](spark, DATA))
+
+
 @pytest.mark.parametrize("cell", [CELL, (0.0, 0.0, 0.0), (10.0, 7.0, 30.0), (4.0, 4.0, 4.0)])
 @pytest.mark.parametrize("cutoff", [1.0, 3.3])
 def test_count_pairs(spark, cell, cutoff):
