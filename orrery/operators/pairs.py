@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import geometry as g
 
-BLOCK = 1 << 16  # pairs in one array
+BLOCK = 12000  # pairs in one array: it stays in the cache, and its memory is used again
 SLACK = 1 + 1e-9  # cells are that much wider than the reach, as differences of coordinates are rounded
 PARTS = 4  # of each side of a frame in ``extreme``
 
@@ -115,21 +115,41 @@ def blocks(left: list[np.ndarray], right: list[np.ndarray], reach: float, cell:
             starts.append(np.searchsorted(rk, a))
             stops.append(np.searchsorted(rk, b))
     starts, stops = np.array(starts).T, np.array(stops).T
+    sizes = stops - starts
 
     right = [c[r_order] for c in right]
+    # where cells are many, the image is that of the cells, and a point's own period comes off
+    near = [bool(length) and k >= 2 * parts + 2 for length, k in zip(cell, counts, strict=True)]
+    l_turn, r_turn = ([np.floor(c / length) if fast else None for c, length, fast in zip(points, cell, near, strict=True)] for points in (left, right))
     for u in range(len(keys)):
-        some = starts[u] < stops[u]
+        some = sizes[u] > 0
         if not some.any():
             continue
-        b = np.concatenate([np.arange(i, j) for i, j in zip(starts[u][some], stops[u][some], strict=True)])
+        b = _flat(starts[u][some], sizes[u][some])
         rows = l_order[first[u]:last[u]]
         theirs, at = [c[b] for c in right], r_order[b]
+        turns = []
+        for c, q, turn, length, k, fast in zip((x, y, z), theirs, r_turn, cell, counts, near, strict=True):
+            if fast:
+                own = turn[b]
+                own += np.rint((q - length * own - (c[u] + 0.5) * (length / k)) / length)
+                turns.append(own * length)
+            else:
+                turns.append(None)
         step = max(1, BLOCK // len(b))
         for k in range(0, len(rows), step):
             a = rows[k:k + step]
             d2 = None
-            for p, q, length in zip(left, theirs, cell, strict=True):
-                d = _image(q[None, :] - p[a][:, None], length)
+            for p, q, length, turn, mine in zip(left, theirs, cell, turns, l_turn, strict=True):
+                d = q[None, :] - p[a][:, None]
+                if turn is None:
+                    d = _image(d, length)
+                else:
+                    w = mine[a] * length
+                    if (w == w[0]).all():
+                        d -= turn - w[0]
+                    else:
+                        d -= turn[None, :] - w[:, None]
                 d *= d
                 d2 = d if d2 is None else np.add(d2, d, out=d2)
             yield a, at, d2
